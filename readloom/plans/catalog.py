@@ -547,7 +547,7 @@ def kmer_graph_edges(f):
     return kmers.kmer_edges(f.user_steps)
 
 
-PRUNE_SQL = f"""WITH e AS MATERIALIZED ({EDGE_SQL}),
+PRUNE_SQL = f"""WITH e AS ({EDGE_SQL}),
     deg AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT v AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT w, 1, 0 FROM e) GROUP BY node),
     fork AS (SELECT node FROM deg WHERE i > 1 OR o > 1),
     linked AS (SELECT unnest([v, w]) AS node FROM e WHERE v <> w AND v NOT IN (SELECT node FROM fork) AND w NOT IN (SELECT node FROM fork)),

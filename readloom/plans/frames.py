@@ -25,7 +25,11 @@ END_LENGTH = 250
 
 
 class Frames:
-    """Lazily built, persisted stages of one input folder."""
+    """Lazily built stages of one input folder.
+
+    Sketches are persisted; what is derived from them is checkpointed, which
+    also keeps the plans of later stages short.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -58,7 +62,7 @@ class Frames:
 
     @cached_property
     def adjacent(self) -> DataFrame:
-        return keep(pairs.adjacent_pairs(self.bounded, MIN_DISTANCE))
+        return cut_lineage(pairs.adjacent_pairs(self.bounded, MIN_DISTANCE))
 
     @cached_property
     def mirrored(self) -> DataFrame:
@@ -66,11 +70,11 @@ class Frames:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return keep(pairs.bucket_rows(self.mirrored, BUCKET_UPPER))
+        return cut_lineage(pairs.bucket_rows(self.mirrored, BUCKET_UPPER))
 
     @cached_property
     def links(self) -> DataFrame:
-        return keep(pairs.placed(pairs.partner_links(self.rows, self.rows, 1, BESTN)))
+        return cut_lineage(pairs.placed(pairs.partner_links(self.rows, self.rows, 1, BESTN)))
 
     @cached_property
     def ref_pairs(self) -> DataFrame:
@@ -81,7 +85,7 @@ class Frames:
     def mapped(self) -> DataFrame:
         once = sketch.within_counts(self.level(2), self.counts, 1, MC_UPPER)
         read_pairs = pairs.with_mirrors(pairs.adjacent_pairs(once, MIN_DISTANCE))
-        return keep(mapping.map_reads(self.ref_pairs, read_pairs, self.counts))
+        return cut_lineage(mapping.map_reads(self.ref_pairs, read_pairs, self.counts))
 
     @cached_property
     def projected(self) -> DataFrame:
@@ -103,7 +107,7 @@ class Frames:
             .when(F.col("size") == F.col("lo_len"), "contained")
             .otherwise("overlap")
         )
-        return keep(
+        return cut_lineage(
             cover.where("size > 0").select(
                 F.col("lo").alias("rid0"),
                 F.col("hi").alias("rid1"),
@@ -123,7 +127,7 @@ class Frames:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return keep(graph.string_edges(self.projected.where("type = 'overlap'")))
+        return cut_lineage(graph.string_edges(self.projected.where("type = 'overlap'")))
 
     @cached_property
     def transitive(self) -> DataFrame:
@@ -135,17 +139,6 @@ class Frames:
         tr = graph._minus(self.edges, self.transitive)
         return cut_lineage(graph._minus(tr, graph.not_best_edges(tr)))
 
-    @cached_property
-    def bipartite(self) -> DataFrame:
-        """Directed graph given by customers' orders: ``v, w`` per customer and clerk day."""
-        orders = self.table("orders").select("o_custkey", "o_orderkey", "o_orderdate")
-        line = self.table("lineitem").select("l_orderkey", "l_suppkey")
-        return (
-            orders.join(line, F.col("o_orderkey") == F.col("l_orderkey"))
-            .select(F.concat(F.lit("c"), "o_custkey").alias("v"), F.concat(F.lit("s"), "l_suppkey").alias("w"))
-            .distinct()
-        )
-
     @cached_property
     def user_steps(self) -> DataFrame:
         """Events of each user in order, an event's type and rounded value as a k-mer."""
