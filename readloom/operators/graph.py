@@ -164,6 +164,7 @@ def bounded_walks(starts: DataFrame, edges: DataFrame, pops: int = 4) -> DataFra
         )
         .withColumnRenamed("v", "at")
     )
+    steps = cut_lineage(steps)
     state = starts.withColumn("seen", F.array("start")).withColumn("open", F.array("start"))
     for _ in range(pops):
         state = (
@@ -190,7 +191,9 @@ def chimer_nodes(edges: DataFrame, live: DataFrame) -> DataFrame:
     One flow starts at the successors, the other at the other successors of the
     predecessors (all edges count, reduced or not).
     """
-    cand = chimer_candidates(edges, live)
+    cand = cut_lineage(chimer_candidates(edges, live))
+    if cand.isEmpty():
+        return cand
     e = edges.select(*EDGE)
     ahead = cand.join(e.select(F.col("v").alias("node"), F.col("w").alias("start")), "node")
     before = cand.join(e.select(F.col("w").alias("node"), F.col("v").alias("p")), "node")
@@ -200,7 +203,7 @@ def chimer_nodes(edges: DataFrame, live: DataFrame) -> DataFrame:
         .select("node", "start")
         .distinct()
     )
-    starts = ahead.withColumn("side", F.lit("a")).unionByName(beside.withColumn("side", F.lit("b")))
+    starts = cut_lineage(ahead.withColumn("side", F.lit("a")).unionByName(beside.withColumn("side", F.lit("b"))))
     met = bounded_walks(starts, e).distinct()
     # a shared neighbour is a shared start, hence also met by both flows
     shared = met.groupBy("node", "met").agg(F.countDistinct("side").alias("sides")).where("sides = 2")
