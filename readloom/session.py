@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,21 +29,34 @@ def build_session(cores: str = "8", app: str = "readloom") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage so that loops do not grow plans.
+def _scratch_folder(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session with
-    nothing configured gets a scratch folder of its own.
+    Only a local session with nothing configured gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="readloom-ckpt-")
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="readloom-ckpt-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+        shared = sc.getCheckpointDir()
+    return f"{shared}/readloom-{sc.applicationId}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back.
+
+    Plans of loops stay short, lost executors cost nothing, and later joins are
+    planned with the true size of the table.  A checkpointed frame would keep
+    the size estimates of the plan it came from, which multiply from join to
+    join until planning itself is what takes the time.
+    """
+    spark = df.sparkSession
+    path = f"{_scratch_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
