@@ -21,8 +21,8 @@ CFG = AssemblyConfig(
 
 @pytest.fixture(scope="module")
 def toy(spark):
-    genome = random_seq(random.Random(7), 24_000)
-    reads = sample_reads(genome, 12, 4000, 400)
+    genome = random_seq(random.Random(7), 16_000)
+    reads = sample_reads(genome, 10, 4000, 400)
     df = spark.createDataFrame([(r[0], r[1]) for r in reads], "rid long, seq string").repartition(4).cache()
     index = assemble.build_index(df, CFG)
     return genome, reads, df, index
