@@ -19,7 +19,7 @@ from readloom.operators import (
 from readloom.plans.frames import (
     BESTN, END_LENGTH, K, MIN_DISTANCE, REDUCTION, W, Frames,
 )
-from readloom.plans.oracle import _mixed, both, flip, statement
+from readloom.plans.oracle import STEPS, _mixed, both, flip, statement
 from readloom.sources.fasta import fasta_records
 
 QUERIES: dict[str, Callable[[Frames], DataFrame]] = {}
@@ -510,18 +510,20 @@ def dup_simple_paths(f):
     return unitigs.duplicate_unitigs(table)
 
 
-WALK = """WITH RECURSIVE deg AS (SELECT node, sum(i) AS i, sum(o) AS o FROM
-      (SELECT v AS node, 0 AS i, 1 AS o FROM live UNION ALL SELECT w, 1, 0 FROM live) GROUP BY node),
-    simple AS (SELECT node FROM deg WHERE i = 1 AND o = 1),"""
-
-
-@query()
+@query("SELECT head, rank, v, w, length, score FROM walk JOIN live USING (v, w)")
 def unitig_edges(f):
     members = unitigs.unitig_members(f.live.withColumn("best_in", F.lit(None).cast("string")))
     return members.select("head", "rank", "v", "w", "length", "score")
 
 
-@query()
+UNITIG_SQL = f"""SELECT s, CASE WHEN head <= mirror THEN post ELSE pre END AS via, t, length, score, n_edges FROM (
+    SELECT *, ({flip('t')}) || '>' || ({flip('pre')}) AS mirror FROM (
+      SELECT head, arg_min(v, rank) AS s, arg_min(w, rank) AS post, arg_max(v, rank) AS pre, arg_max(w, rank) AS t,
+             CAST(sum(length) AS BIGINT) AS length, CAST(sum(score) AS BIGINT) AS score, count(*) AS n_edges
+      FROM walk JOIN live USING (v, w) GROUP BY head))"""
+
+
+@query(UNITIG_SQL)
 def unitig_table(f):
     members = unitigs.unitig_members(f.live.withColumn("best_in", F.lit(None).cast("string")))
     return unitigs.unitigs(members).select("s", "via", "t", "length", "score", "n_edges")
@@ -561,7 +563,17 @@ def kmer_graph_pruned(f):
     return kmers.pruned_kmer_graph(kmers.kmer_edges(f.user_steps))
 
 
-@query()
+STEPS["pruned"] = PRUNE_SQL
+STEPS["prunedways"] = "SELECT v, w FROM pruned UNION SELECT w, v FROM pruned"
+STEPS["prunedreach"] = "SELECT v AS node, v AS label FROM prunedways UNION SELECT u.w, r.label FROM prunedreach r JOIN prunedways u ON u.v = r.node"
+STEPS["prunedlabel"] = "SELECT node, min(label) AS component FROM prunedreach GROUP BY node"
+
+
+@query(
+    """SELECT l.node, component, in_degree, out_degree, count(*) OVER (PARTITION BY component) AS size FROM prunedlabel l JOIN
+         (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM
+            (SELECT v AS node, 0 AS i, 1 AS o FROM pruned UNION ALL SELECT w, 1, 0 FROM pruned) GROUP BY node) d ON d.node = l.node"""
+)
 def kmer_graph_components(f):
     return kmers.component_report(kmers.pruned_kmer_graph(kmers.kmer_edges(f.user_steps)))
 
@@ -729,10 +741,6 @@ def position_coverage(f):
     return consensus.position_coverage(_text_tags(f)).select("ctg", "t_pos", "coverage")
 
 
-def _mapped_reads(f):
-    return f.mapped
-
-
 def _tiled(f):
     spots = f.table("events").select(
         F.col("user_id").alias("ref_id"), F.col("event_id").cast("int").alias("ref_bgn"), F.col("event_id").alias("read_id")
@@ -741,13 +749,18 @@ def _tiled(f):
     return spots, spans
 
 
-@query()
+@query('SELECT ctg, win, a - 100 AS "left", stop AS "right" FROM windows')
 def contig_windows(f):
     spots, spans = _tiled(f)
     return consensus.tile_windows(spots, spans, AssemblyConfig(window=1000, window_limit=2000, window_lead=100))[0]
 
 
-@query()
+@query(
+    """SELECT ctg, ref_bgn, read_id, win, a - 100 AS "left", stop AS "right" FROM (
+         SELECT e.user_id AS ctg, e.event_id AS ref_bgn, e.event_id AS read_id, win, a, stop, usable,
+                row_number() OVER (PARTITION BY e.user_id, e.event_id ORDER BY win DESC) AS nth
+         FROM events e JOIN windows w ON w.ctg = e.user_id AND (w.a <= e.event_id OR w.win = 0)) WHERE nth = 1 AND usable"""
+)
 def window_rows(f):
     spots, spans = _tiled(f)
     cfg = AssemblyConfig(window=1000, window_limit=2000, window_lead=100)

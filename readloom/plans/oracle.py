@@ -222,6 +222,26 @@ STEPS |= {
           WINDOW o AS (PARTITION BY h0, strand0, h1, strand1 ORDER BY lft, rgt, rid, direction)) WHERE right0 < rgt""",
 }
 
+# contig windows over event positions: window 1000, limit 2000, lead 100
+STEPS |= {
+    "spots": "SELECT DISTINCT user_id AS ctg, event_id AS spot FROM events",
+    "spans": "SELECT ctg, max(spot) + 1 AS len FROM spots GROUP BY ctg",
+    "jumps": """SELECT ctg, a, (SELECT min(spot) FROM spots s WHERE s.ctg = f.ctg AND s.spot >= f.a + 1000) AS nx
+        FROM (SELECT ctg, spot AS a FROM spots UNION SELECT ctg, 100 FROM spans) f""",
+    "anchors": """SELECT ctg, 0 AS win, CAST(100 AS BIGINT) AS a FROM spans
+        UNION ALL SELECT x.ctg, x.win + 1, n.nx FROM anchors x JOIN jumps n ON n.ctg = x.ctg AND n.a = x.a WHERE n.nx IS NOT NULL""",
+    "cuts": """SELECT c.ctg, win, a, len, lead(a) OVER p AS nx, max(win) OVER (PARTITION BY c.ctg) AS last,
+          len - max(a) OVER (PARTITION BY c.ctg) AS tail FROM anchors c JOIN spans s ON s.ctg = c.ctg WINDOW p AS (PARTITION BY c.ctg ORDER BY win)""",
+    "windows": """SELECT ctg, win, a, CASE WHEN tail <= 100 AND last > 0 AND win = last - 1 THEN len ELSE coalesce(nx, len) END AS stop,
+          CASE WHEN nx IS NOT NULL THEN nx - a < 2000 ELSE tail > 100 AND tail < 2000 END AS usable
+        FROM cuts WHERE NOT (tail <= 100 AND last > 0 AND win = last)""",
+    # unitigs that are lists; rings need an opening rule that SQL does not state well
+    "livedeg": """SELECT node FROM (SELECT v AS node, 0 AS i, 1 AS o FROM live UNION ALL SELECT w, 1, 0 FROM live)
+        GROUP BY node HAVING sum(i) = 1 AND sum(o) = 1""",
+    "walk": """SELECT v || '>' || w AS head, CAST(0 AS BIGINT) AS rank, v, w FROM live WHERE v NOT IN (SELECT node FROM livedeg)
+        UNION ALL SELECT k.head, k.rank + 1, e.v, e.w FROM walk k JOIN live e ON e.v = k.w JOIN livedeg d ON d.node = k.w""",
+}
+
 
 def statement(select: str) -> str:
     """The select with every step it reads, directly or not, in front of it."""
