@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.sequence import XOR_K, XOR_KEY
 from readloom.operators import kernels
-from readloom.session import cut_lineage, join_unique
+from readloom.session import cut_lineage, join_bounded
 
 
 def kmer_rows(reads: DataFrame, k: int, step: int = 1) -> DataFrame:
@@ -123,7 +123,9 @@ def seed_matches(queries: DataFrame, targets: DataFrame, k: int, mask_count: int
         common = t.groupBy("code").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > mask_count)
         t = t.join(common.select("code"), "code", "left_anti")
     q = kmer_rows(queries, k, max(k // 2, 1)).select(F.col("rid").alias("q_id"), F.col("pos").alias("q_pos"), "code")
-    return q.join(t, "code").select("q_id", "t_id", "q_pos", "t_pos")
+    # with a mask every code has few targets, so a code that is hot among the queries is harmless
+    met = q.join(t, "code") if mask_count is None else join_bounded(q, t, "code")
+    return met.select("q_id", "t_id", "q_pos", "t_pos")
 
 
 PAIR_ID = ["q_id", "t_id"]
@@ -297,7 +299,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     return (
-        join_unique(both.where(F.col("b") > F.col("a")), low, "a")
+        join_bounded(both.where(F.col("b") > F.col("a")), low, "a")
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
         .distinct()
     )

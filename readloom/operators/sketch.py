@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.operators import kernels
+from readloom.session import join_bounded
 
 SKETCH_SCHEMA = (
     "rid long, level int, idx int, pos int, strand int, hash long, span int, len int"
@@ -129,7 +130,7 @@ def merge_counts(parts: list[DataFrame]) -> DataFrame:
 
 
 def annotate_counts(sketches: DataFrame, counts: DataFrame) -> DataFrame:
-    return sketches.join(counts, "hash")
+    return join_bounded(sketches, counts, "hash")
 
 
 def within_counts(sketches: DataFrame, counts: DataFrame, lower: int, upper: int) -> DataFrame:

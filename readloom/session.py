@@ -80,19 +80,24 @@ def keep(df: DataFrame) -> DataFrame:
 HOT_KEYS = 1_000
 
 
-def join_unique(rows: DataFrame, lookup: DataFrame, key: str, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """Inner join to a lookup with one row per key, safe when a key is hot.
+def join_bounded(rows: DataFrame, lookup: DataFrame, keys: str | list[str], hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Inner join to a lookup with few rows per key, safe when a key is hot.
 
     Rows of the most frequent keys meet their lookup rows through a broadcast of
-    at most ``hot_keys`` rows and stay where they are; the others are shuffled
+    at most ``hot_keys`` keys and stay where they are; the others are shuffled
     and none of their keys holds more than a small share.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     busy = (
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), key).limit(hot_keys).select(key)
+        rows.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .orderBy(F.col("_n").desc(), *keys)
+        .limit(hot_keys)
+        .select(*keys)
     )
-    hot = F.broadcast(lookup.join(F.broadcast(busy), key, "left_semi"))
-    rest = rows.join(F.broadcast(busy), key, "left_anti").join(lookup, key)
-    return rows.join(hot, key).unionByName(rest)
+    hot = F.broadcast(lookup.join(F.broadcast(busy), keys, "left_semi"))
+    rest = rows.join(F.broadcast(busy), keys, "left_anti").join(lookup, keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def global_index(df: DataFrame, order: list, name: str) -> DataFrame:
