@@ -772,6 +772,11 @@ def polished_contigs(f):
     return consensus.polish(f.contigs, f.reads, f.mapped, CFG)
 
 
+@query()
+def read_set_consensus(f):
+    return consensus.read_set_consensus(f.contigs, f.reads, K, W, REDUCTION)
+
+
 # -- alignment and assembly ---------------------------------------------------
 
 

@@ -1 +1 @@
-
+"""Empty on purpose: none of the operators works on unbounded input."""

@@ -12,7 +12,7 @@ from readloom.config import AssemblyConfig
 from readloom.operators import colinear, consensus, kernels, kmers, mapping, overlap, pairs, sketch, truth
 from readloom.plans import assemble
 from readloom.sources import fasta, records
-from tests.genome import random_seq, rc, sample_reads
+from tests.genome import random_seq, rc, sample_reads, with_errors
 
 CFG = AssemblyConfig(
     k=16, w=24, reduction=3, min_pair_distance=40, min_len=1000, spur_first=1500, spur_second=2500, repeat_bridge=1500, window=8000, window_limit=16000
@@ -244,6 +244,22 @@ def test_best_tag_path_prefers_the_majority():
     assert consensus.best_tag_path(rows, {i: 1 for i in range(4)}, 1) == "acgt"
 
 
+def test_consensus_of_a_read_set(spark):
+    rng = random.Random(21)
+    g = random_seq(rng, 3000)
+    copies = [with_errors(rng, g, 0.01) for _ in range(9)]
+    reads = [(i, c if i % 2 else rc(c)) for i, c in enumerate(copies)]
+    seed = with_errors(rng, g, 0.02)
+    out = consensus.read_set_consensus(
+        spark.createDataFrame([(0, seed)], "rid long, seq string"), spark.createDataFrame(reads, "rid long, seq string"), 16, 24, 3
+    ).first()
+
+    def errors(s):
+        return int(kernels.align_batch([s.encode()], [g.encode()], 100)["dist"][0])
+
+    assert errors(out.seq.upper()) < 0.2 * errors(seed)
+
+
 def test_window_stitching(spark):
     g = random_seq(random.Random(1), 6000)
     df = spark.createDataFrame([(1, 0, g[:2500]), (1, 1, g[1500:4500]), (1, 2, g[3500:])], "ctg long, win int, seq string")
