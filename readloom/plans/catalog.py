@@ -159,12 +159,12 @@ def minimizers_l0(f):
 
 
 @query(f"SELECT {LEVEL_SQL} FROM l1")
-def shimmers_l1(f):
+def minimizers_l1(f):
     return f.level(1).select(*LEVEL)
 
 
 @query(f"SELECT {LEVEL_SQL} FROM l2")
-def shimmers_l2(f):
+def minimizers_l2(f):
     return f.level(2).select(*LEVEL)
 
 

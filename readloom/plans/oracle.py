@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-from readloom.functions.sequence import XOR_K, XOR_KEY
 from readloom.plans.frames import (
     BESTN, BUCKET_UPPER, END_LENGTH, FUZZ, K, MC_LOWER, MC_UPPER, MIN_DISTANCE, REDUCTION, W,
 )
@@ -43,9 +42,8 @@ def _mix(key: str) -> list[str]:
 
 def _mixed(source: str, key: str, columns: str) -> str:
     sql = source
-    for i, step in enumerate(_mix(key)):
-        keep = columns + ("" if i == 0 else "")
-        sql = f"SELECT {keep}, {step} AS x FROM ({sql})"
+    for step in _mix(key):
+        sql = f"SELECT {columns}, {step} AS x FROM ({sql})"
     return sql
 
 
@@ -105,10 +103,10 @@ STEPS: dict[str, str] = {
 }
 
 
-def _pairs(source: str, partition: str = "rid") -> str:
+def _pairs(source: str) -> str:
     return f"""SELECT hash0 AS h0, span0, hash AS h1, span AS span1, rid, len, pos0, strand0, pos AS pos1, strand AS strand1, 0 AS direction
         FROM (SELECT *, lag(hash) OVER o AS hash0, lag(span) OVER o AS span0, lag(pos) OVER o AS pos0, lag(strand) OVER o AS strand0
-              FROM {source} WINDOW o AS (PARTITION BY {partition} ORDER BY pos)) WHERE pos - pos0 >= {MIN_DISTANCE}"""
+              FROM {source} WINDOW o AS (PARTITION BY rid ORDER BY pos)) WHERE pos - pos0 >= {MIN_DISTANCE}"""
 
 
 def _mirrors(source: str) -> str:
@@ -157,7 +155,7 @@ STEPS |= {
                  g, gs, gt, size, bad FROM both_ends) WHERE NOT bad""",
     "dovetails": "SELECT * FROM projected WHERE type = 'overlap'",
     "both_ends": """SELECT *, CASE WHEN ahead THEN a_bgn = 0 ELSE a_end = len0 END OR gs = gt AS bad FROM (
-          SELECT *, CASE WHEN ahead = same THEN CASE WHEN ahead THEN b_end ELSE b_end END ELSE b_bgn END AS gs,
+          SELECT *, CASE WHEN ahead = same THEN b_end ELSE b_bgn END AS gs,
                  CASE WHEN ahead = same THEN len1 ELSE 0 END AS gt FROM (
             SELECT *, CAST(rid0 AS VARCHAR) AS f, CAST(rid1 AS VARCHAR) AS g, a_bgn > 0 AS ahead, strand1 = 0 AS same, -score AS size FROM dovetails))""",
     "sedges": "SELECT v, w, rid, sp, tp, abs(sp - tp) AS length, score FROM edges",
