@@ -29,7 +29,7 @@ def build_session(cores: str = "8", app: str = "readloom") -> SparkSession:
     return spark
 
 
-def _scratch_folder(spark: SparkSession) -> str:
+def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
     Only a local session with nothing configured gets a folder of its own.
@@ -54,7 +54,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     join until planning itself is what takes the time.
     """
     spark = df.sparkSession
-    path = f"{_scratch_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
