@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from readloom.llm.coder import read_ids, write_ids
 from readloom.llm.jaccard import jaccard_components
-from readloom.session import spread
+from readloom.llm.packing import packed
+from readloom.llm.transducer import token_counts
+from readloom.session import scratch_folder, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_folder(spark)}/ids-{uuid.uuid4().hex}"
+    write_ids(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_ids(spark, folder)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_id_files": op2_id_files,
+    "op3_token_counts": op3_token_counts,
+    "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
 }
 
