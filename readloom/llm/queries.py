@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readloom.llm.coder import read_ids, write_ids
+from readloom.llm.html import extract_text
 from readloom.llm.jaccard import jaccard_components
+from readloom.llm.langid import predict_languages
 from readloom.llm.packing import packed
+from readloom.llm.quality import quality_scores
 from readloom.llm.transducer import token_counts
 from readloom.session import scratch_folder, spread
 
@@ -19,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "weak_label", "quality_score", (F.col("quality_score") >= 0.5).alias("accepted"))
+
+
 def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_folder(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
@@ -29,6 +38,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,11 +50,18 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_id_files": op2_id_files,
     "op3_token_counts": op3_token_counts,
+    "op6_languages": op6_languages,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op10_main_text": op10_main_text,
 }
 
 SQL: dict[str, str] = {
