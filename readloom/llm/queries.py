@@ -13,6 +13,7 @@ from readloom.llm.coder import read_ids, write_ids
 from readloom.llm.html import extract_text
 from readloom.llm.jaccard import jaccard_components
 from readloom.llm.langid import predict_languages
+from readloom.llm.multiindex import near_vectors
 from readloom.llm.packing import packed
 from readloom.llm.quality import quality_scores
 from readloom.llm.transducer import token_counts
@@ -38,6 +39,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_id_files": op2_id_files,
     "op3_token_counts": op3_token_counts,
+    "op4_near_vectors": op4_near_vectors,
     "op6_languages": op6_languages,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
@@ -65,6 +71,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_near_vectors": r"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
+      AND len(list_filter(embedding, e -> e <> 0)) > 0
+), pair AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT reach.a, pair.b FROM reach JOIN pair ON reach.b = pair.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM pair WHERE pair.a = e.vec_id) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = e.vec_id
+""",
     "op8_jaccard_join": r"""
 WITH RECURSIVE word AS (
     SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
