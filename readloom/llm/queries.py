@@ -13,6 +13,7 @@ from readloom.llm.coder import read_ids, write_ids
 from readloom.llm.html import extract_text
 from readloom.llm.jaccard import jaccard_components
 from readloom.llm.langid import predict_languages
+from readloom.llm.lines import dedup_lines
 from readloom.llm.multiindex import near_vectors
 from readloom.llm.packing import packed
 from readloom.llm.quality import quality_scores
@@ -43,6 +44,10 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_id_files": op2_id_files,
     "op3_token_counts": op3_token_counts,
     "op4_near_vectors": op4_near_vectors,
+    "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_languages": op6_languages,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
@@ -74,8 +80,8 @@ SQL: dict[str, str] = {
     "op4_near_vectors": r"""
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
-    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
-      AND len(list_filter(embedding, e -> e <> 0)) > 0
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+      AND len(list_filter(embedding, lambda e: e <> 0)) > 0
 ), pair AS MATERIALIZED (
     SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
     WHERE list_cosine_similarity(a.x, b.x) >= 0.98
