@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.coder import read_ids, write_ids
+from readloom.llm.decontam import benchmark_matches
 from readloom.llm.html import extract_text
 from readloom.llm.jaccard import jaccard_components
 from readloom.llm.langid import predict_languages
@@ -60,6 +61,17 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        (F.size("matches") > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("item_ids"),
+        F.array_max(F.transform("matches", lambda m: m["score"])).alias("top_score"),
+    )
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
@@ -73,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_languages": op6_languages,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
 }
 
