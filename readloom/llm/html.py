@@ -147,24 +147,29 @@ def _measure(nodes: list[Node]) -> None:
         node.total = sum(x.density for x in node.children if not isinstance(x, str))
 
 
-def _collect(node: Node, least: float, blocks: list[list[str]]) -> None:
-    """Text of a subtree in page order; blocks break the text, dense-poor side branches full of links are left out."""
-    for child in node.children:
+def _collect(top: Node, least: float) -> list[list[str]]:
+    """Text of a subtree in page order, cut where blocks begin and end.
+
+    Branches that are mostly links and less dense than the path are left out.
+    """
+    blocks: list[list[str]] = [[]]
+    todo: list[Node | str | None] = list(reversed(top.children))
+    while todo:
+        child = todo.pop()
+        if child is None:
+            blocks.append([])
+            continue
         if isinstance(child, str):
             blocks[-1].append(child)
             continue
-        if child.out:
-            if child.tag in BLOCK:
-                blocks.append([])
-            continue
         breaks = child.tag in BLOCK
         if breaks:
             blocks.append([])
-        mostly_links = child.chars and child.link_chars > 0.6 * child.chars and breaks
-        if not (mostly_links and child.density < least):
-            _collect(child, least, blocks)
-        if breaks:
-            blocks.append([])
+            todo.append(None)
+        links_only = breaks and child.chars and child.link_chars > 0.6 * child.chars and child.density < least
+        if not child.out and not links_only:
+            todo.extend(reversed(child.children))
+    return blocks
 
 
 def main_text(page: str) -> str:
@@ -188,9 +193,7 @@ def main_text(page: str) -> str:
             top = top.parent
         if top.tag == "p":
             top = top.parent
-    blocks: list[list[str]] = [[]]
-    _collect(top, least, blocks)
-    texts = (SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks)
+    texts = (SPACE.sub(" ", html.unescape("".join(b))).strip() for b in _collect(top, least))
     return " ".join(t for t in texts if t)
 
 

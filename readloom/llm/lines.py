@@ -151,24 +151,26 @@ def _texts(rows: DataFrame, distinct: DataFrame, wanted: DataFrame) -> DataFrame
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``uid, doc_id, text, n_lines, n_removed`` of every row of ``docs(doc_id, text)``; texts without their repeated lines.
+    """The rows of ``docs(doc_id, text, ...)`` without repeated lines, with ``n_lines`` and ``n_removed``.
 
     Lines without words stay.  A null text stays null with no lines; a text whose
     lines all stand elsewhere first becomes empty.  Rows with null ids are rows
-    like any other; rows that repeat an id and its text keep the same lines.  Other columns are ignored.
+    like any other; rows that repeat an id and its text keep the same lines.
+    Other columns pass through (those of the two new names are replaced).
     """
-    kept, rows = line_groups(docs)
-    lists = cut_lineage(kept.groupBy("uid").agg(F.collect_set("line").alias("kept")))
-    split = rows.join(lists, "uid", "left").withColumn("lines", F.split("text", "\n"))
-    keep = F.coalesce("kept", F.array().cast("array<bigint>"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept, _ = line_groups(docs)
+    lists = cut_lineage(kept.groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("line").alias("_kept")))
+    rows = docs.select(*names, F.xxhash64("doc_id", "text").alias("_uid")).join(lists, "_uid", "left")
+    keep = F.coalesce("_kept", F.array().cast("array<bigint>"))
     held = F.filter(
-        F.transform("lines", lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))),
+        F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))),
         lambda s: F.array_contains(keep, s["i"]) | ~F.rlike(s["x"], F.lit(WORDS)),
     )
-    split = split.withColumn("held", held)
-    return split.select(
-        "uid", "doc_id",
-        F.array_join(F.transform("held", lambda s: s["x"]), "\n").alias("text"),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-        (F.coalesce(F.size("lines"), F.lit(0)) - F.coalesce(F.size("held"), F.lit(0))).cast("long").alias("n_removed"),
-    )
+    rows = rows.withColumn("_held", held).withColumn("_n", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
+    text = F.array_join(F.transform("_held", lambda s: s["x"]), "\n").alias("text")
+    return rows.select(
+        *[text if c == "text" else F.col(c) for c in names],
+        F.col("_n").alias("n_lines"),
+        (F.col("_n") - F.coalesce(F.size("_held"), F.lit(0))).alias("n_removed"),
+    )

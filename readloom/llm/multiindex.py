@@ -12,7 +12,7 @@ from readloom.llm.components import components
 from readloom.session import cut_lineage
 
 SAMPLE = 20_000  # vectors that codebooks and traversal depth are fitted on, those of the smallest id hashes
-RECALL = 0.995  # of pairs at the threshold itself, the hardest; closer ones are found more often
+RECALL = 0.9995  # of pairs at the threshold itself, the hardest; closer ones are found more often
 BLOCK = 512  # members or queries of a task
 CODES = (4, 256)  # fewest and most codes of a half
 
@@ -21,6 +21,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _rows(column) -> np.ndarray:
+    """Unit rows of a list column; a single component is split in two halves."""
+    x = np.stack(kernel.list_parts(column)).astype(np.float64)
+    return _unit(np.concatenate([x, x], 1) if x.shape[1] == 1 else x)
+
+
 def _nearest(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Squared distances of each row to each code."""
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ codes.T + (codes * codes).sum(1)[None], 0)
@@ -49,7 +55,7 @@ class Grid:
         self.left, self.right = codebook(sample[:, :half], size, 1), codebook(sample[:, half:], size, 2)
         # partners at the threshold, in all directions
         rng = np.random.default_rng(3)
-        x = sample[: min(len(sample), 4_000)]
+        x = np.tile(sample[: min(len(sample), 2_000)], (8, 1))
         away = rng.normal(size=x.shape)
         away = _unit(away - (away * x).sum(1, keepdims=True) * x)
         y = least * x + np.sqrt(1 - least * least) * away
@@ -86,7 +92,7 @@ def _place(grid):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(np.stack(kernel.list_parts(batch.column("vector"))).astype(np.float64))
+            x = _rows(batch.column("vector"))
             cells = grid.value.cells(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("node", "weight", "label", "vector")] + [kernel.list_array(list(cells), pa.int64())],
@@ -102,8 +108,8 @@ LINKED = "node long, links long, other long"
 def _verify(least: float):
     """Links of one block of a cell's members with one block of the vectors that visit the cell.
 
-    Each row says how many vectors a node gained here (``other`` null), or names
-    the smallest node of its connected part (``links`` 0).  A visitor is credited
+    Each row says how many vectors a node gained here, or, with 0 ``links``, names
+    the first node of its connected part.  A visitor is credited
     with what it finds; the member found is credited here too unless it visits
     the visitor's own cell and finds it there.
     """
@@ -133,15 +139,14 @@ def _verify(least: float):
                     back = np.bincount(j[alone], weight[v][i[alone]], len(m))
                     for who, g in ((v, gain), (m, back)):
                         hit = np.flatnonzero(g)
-                        out_node.append(node[who[hit]]), out_links.append(g[hit].astype(np.int64)), out_other.append(np.full(len(hit), -1))
+                        out_node.append(node[who[hit]]), out_links.append(g[hit].astype(np.int64)), out_other.append(np.zeros(len(hit), np.int64))
                     both = np.concatenate([node[v], node[m]])
                     names, where = np.unique(both, return_inverse=True)
                     label = kernel.local_labels(len(names), where[i], where[len(v) + j])
                     moved = np.flatnonzero(label != np.arange(len(names)))
                     out_node.append(names[moved]), out_links.append(np.zeros(len(moved), np.int64)), out_other.append(names[label[moved]])
         cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        other = cat(out_other)
-        return pa.table({"node": cat(out_node), "links": cat(out_links), "other": pa.array(other, pa.int64(), mask=other < 0)})
+        return pa.table({"node": cat(out_node), "links": cat(out_links), "other": cat(out_other)})
 
     return run
 
@@ -181,8 +186,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     plain = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if found is not None:
         found = cut_lineage(found)
-        gained = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
-        label = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+        gained = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
+        label = components(found.where("links = 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
         named = cut_lineage(
             nodes.select("node", "least_id", "weight").join(label, "node", "left").join(gained, "node", "left").withColumn("component", F.coalesce("component", "node"))
         )
@@ -196,9 +201,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 def _linked(nodes: DataFrame, least: float) -> DataFrame:
     sc = nodes.sparkSession.sparkContext
     sample = nodes.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()
-    x = _unit(np.stack(kernel.list_parts(sample["vector"])).astype(np.float64))
-    if x.shape[1] == 1:
-        x = np.concatenate([x, x], 1) / np.sqrt(2)
+    x = _rows(sample["vector"])
     grid = sc.broadcast(Grid(x, nodes.count(), least))
     placed = nodes.select("node", "weight", "label", "vector").mapInArrow(
         _place(grid), "node long, weight long, label string, vector array<double>, cells array<long>"

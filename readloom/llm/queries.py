@@ -46,7 +46,7 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
