@@ -13,17 +13,29 @@ from readloom.llm import kernel
 from readloom.llm.components import components
 from readloom.session import cut_lineage
 
-GROUP = 48  # documents of a group
-QUERIES = 256  # queries that one task holds against a group
-HOT_COUNT = 64  # a token of this many documents is put behind all rarer ones
-HOT_TOKENS = 50_000  # so many of them at most, the most frequent: 400 kB
+GROUP = 96  # documents of a group
+ORDERS = 4  # hash orders whose smallest tokens may name a document's group
+LATE_COUNT = 4  # a token of this many documents is put behind all rarer ones
+WINDOW = 24  # tokens that are counted beyond as many as a prefix
+MAP_BITS = 26  # of a map that tells tokens apart: 8 MB; tokens that it mistakes cost time, not results
+HOT_TOKENS = 50_000  # the most frequent come last, in the order of their counts: 800 kB
 NEAR_IDS = 200_000  # a list of so many ids at most is broadcast: 3 MB
+SHARED = 6  # prefix tokens that large near copies are asked to share; small ones share fewer
 COLUMNS = 8_192  # tokens of a union that are multiplied at a time
 
 
-def _prefix(n, num: int, den: int):
-    """Two sets at the threshold share one of so many first tokens of each, in any common order."""
-    return n - (n * num + den - 1) // den + 1
+def _common(n, num: int, den: int):
+    """Prefix tokens that two sets at the threshold share; ``n`` is the size of the smaller (an int or an array)."""
+    return 1 + np.minimum(SHARED - 1, (n + (-n * num) // den) // 2)
+
+
+def _prefix(n: int, num: int, den: int) -> int:
+    """Two sets at the threshold share ``_common`` of so many first tokens of each, in any common order.
+
+    Of their common tokens, at least ``ceil(n * num / den)``, all but the first
+    ``_common`` must fit behind the prefix.
+    """
+    return min(n, n + (-n * num) // den + int(_common(n, num, den)))
 
 
 def _nodes(sets: list[np.ndarray]) -> np.ndarray:
@@ -37,26 +49,60 @@ def _sketch(size: int, num: int, den: int):
         for part in kernel.slices(batches):
             sets = kernel.shingles(*kernel.words(part.column("text")), size)
             n = np.array([len(s) for s in sets], np.int64)
-            low = [s[: 2 * _prefix(len(s), num, den) + 16] for s in sets]
+            low = [s[: _prefix(len(s), num, den) + WINDOW] for s in sets]
+            turns = [np.uint64(2 * (k * 0x51A2C3E7B5D4F691 % (1 << 62)) + 1) for k in range(ORDERS)]
+            least = [np.array([(s * f).min() for f in turns], np.uint64) if len(s) else s for s in sets]
+            lists = [kernel.list_array(x, pa.int64()) for x in (low, least)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n), pa.array(_nodes(sets)), kernel.list_array(low, pa.int64())],
-                names=["doc_id", "n", "node", "low"],
+                [part.column("doc_id"), pa.array(n), pa.array(_nodes(sets)), *lists], names=["doc_id", "n", "node", "low", "least"]
             )
 
     return run
 
 
-def _prefixes(size: int, num: int, den: int, hot):
+class Bitmap:
+    """Tells the tokens of a frame from most others, in ``2 ** MAP_BITS`` bits whatever their number."""
+
+    def __init__(self, tokens: DataFrame):
+        place = F.shiftrightunsigned("token", 64 - MAP_BITS)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+        words = tokens.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        self.bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+        self.bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+
+    def has(self, tokens: np.ndarray) -> np.ndarray:
+        place = tokens >> np.uint64(64 - MAP_BITS)
+        return (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+class Order:
+    """A total order of all tokens that puts frequent ones behind; the same for every document."""
+
+    def __init__(self, counted: DataFrame):
+        frequent = cut_lineage(counted.where(F.col("count") >= LATE_COUNT))
+        hot = frequent.orderBy(F.col("count").desc(), "token").limit(HOT_TOKENS).toArrow()
+        token = hot["token"].to_numpy().view(np.uint64)
+        at = np.argsort(token)
+        self.hot, self.level = token[at], hot["count"].to_numpy()[at]
+        self.late = Bitmap(frequent)
+
+    def first(self, tokens: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` first of sorted tokens: rare ones, frequent ones, the most frequent by count."""
+        late = self.late.has(tokens)
+        out = tokens[~late][:n]
+        if len(out) < n and late.any():
+            rest = tokens[late]
+            at = np.minimum(np.searchsorted(self.hot, rest), len(self.hot) - 1)
+            level = np.where(self.hot[at] == rest, self.level[at], 0)
+            out = np.concatenate([out, rest[np.argsort(level, kind="stable")][: n - len(out)]])
+        return out
+
+
+def _prefixes(size: int, num: int, den: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = hot.value
         for part in kernel.slices(batches):
             sets = kernel.shingles(*kernel.words(part.column("text")), size)
-            out = []
-            for s in sets:
-                p = _prefix(len(s), num, den) if len(s) else 0
-                late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
-                rare = s[~late][:p]
-                out.append(rare if len(rare) == p else np.concatenate([rare, s[late][: p - len(rare)]]))
+            out = [order.value.first(s, _prefix(len(s), num, den)) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(_nodes(sets)), kernel.list_array(out, pa.int64())],
                 names=["doc_id", "node", "tokens"],
@@ -65,6 +111,22 @@ def _prefixes(size: int, num: int, den: int, hot):
     return run
 
 
+def _meeting(num: int, den: int, shared):
+    """Prefix tokens that other components hold too, of documents with enough of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [t[shared.value.has(t.view(np.uint64))] for t in kernel.list_parts(batch.column("tokens"))]
+            n = batch.column("n").to_numpy()
+            own = np.flatnonzero(np.array([len(k) for k in kept]) >= _common(n * num // den, num, den))
+            rest = [batch.column(c).take(pa.array(own)) for c in ("gid", "comp", "n")]
+            yield pa.RecordBatch.from_arrays(
+                [*rest, kernel.list_array([kept[i] for i in own], pa.int64())], names=["gid", "comp", "n", "tokens"]
+            )
+
+    return run
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in kernel.slices(batches):
@@ -73,7 +135,8 @@ def _sets(size: int):
             # a repeated id may have brought another text along
             own = np.flatnonzero(node == part.column("node").to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node[own]), kernel.list_array([sets[i] for i in own], pa.int64())], names=["node", "tokens"]
+                [part.column("gid").take(pa.array(own)), pa.array(node[own]), kernel.list_array([sets[i] for i in own], pa.int64())],
+                names=["gid", "node", "tokens"],
             )
 
     return run
@@ -118,36 +181,41 @@ def overlaps(queries: list[np.ndarray], members: list[np.ndarray], num: int, den
 
 
 def _links(num: int, den: int):
-    """Links inside one group (rows without a query mark) or between queries and a group."""
+    """Links inside a group, or between the groups of a pair: every row is a group's nodes and their sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, mark = table["node"].to_numpy(), table["query"].to_numpy()
-        tokens = [t.view(np.uint64) for t in kernel.list_parts(table["tokens"])]
-        inside, asked = np.flatnonzero(~mark), np.flatnonzero(mark)
+        groups = []
+        for row in range(table.num_rows):
+            part = table["tokens"].combine_chunks()[row].values
+            sets = [t.view(np.uint64) for t in kernel.list_parts(part)]
+            nodes, first = np.unique(table["nodes"][row].values.to_numpy(), return_index=True)
+            groups.append((nodes, [sets[i] for i in first]))
+        (asked, queries), (node, members) = groups[0], groups[-1]
+        every = np.concatenate([asked, node])
         out = np.zeros((0, 2), np.int64)
-        if len(inside) and (len(asked) or not mark.any()):
-            asked = asked if len(asked) else inside
-            # a group at a time; queries in blocks, should a salt have filled unevenly
-            pairs = [
-                (asked[i : i + QUERIES][q], inside[m])
-                for i in range(0, len(asked), QUERIES)
-                for q, m in [overlaps([tokens[k] for k in asked[i : i + QUERIES]], [tokens[k] for k in inside], num, den)]
-            ]
-            a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-            label = kernel.local_labels(len(node), a, b)
-            moved = np.flatnonzero(label != np.arange(len(node)))
-            out = np.stack([node[label[moved]], node[moved]], 1)
+        for i in range(0, len(queries), GROUP):
+            for j in range(0, len(members), GROUP):
+                q, m = overlaps(queries[i : i + GROUP], members[j : j + GROUP], num, den)
+                label = kernel.local_labels(len(every), i + q, len(asked) + j + m)
+                moved = np.flatnonzero(label != np.arange(len(every)))
+                out = np.concatenate([out, np.stack([every[label[moved]], every[moved]], 1)])
+        out = np.unique(out[out[:, 0] != out[:, 1]], axis=0)
         return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
     return run
 
 
-def _token_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``node, tokens`` of ``nodes(doc_id, node)``, read again from their texts."""
-    wanted = cut_lineage(nodes.withColumnRenamed("doc_id", "rep"))
+def _group_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``gid, nodes, tokens``: the groups of ``nodes(doc_id, node, gid)`` with their sets, read again from the texts.
+
+    Where rows repeat an id and its text, a node stands there more than once.
+    """
+    wanted = nodes.select(F.col("doc_id").alias("rep"), "node", "gid")
     few = wanted.count() <= NEAR_IDS
-    rows = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    return cut_lineage(rows.mapInArrow(_sets(size), "node long, tokens array<long>"))
+    rows = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("gid", "node", "text")
+    sets = rows.mapInArrow(_sets(size), "gid long, node long, tokens array<long>")
+    groups = sets.groupBy("gid").agg(F.collect_list(F.struct("node", "tokens")).alias("rows"))
+    return cut_lineage(groups.select("gid", F.col("rows.node").alias("nodes"), F.col("rows.tokens").alias("tokens")))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -160,63 +228,66 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     texts have an empty set and stay alone.  Rows of equal sets count as one
     node, also when an id is repeated.  Other columns are ignored.
 
-    Groups: documents of one smallest token and similar size, cut into about
-    ``GROUP``.  A group is compared with itself first.  Then each document asks
-    the groups that hold one of its prefix tokens and are not yet part of its
-    component, so a family of near copies is not compared with itself again.
+    Groups: documents of similar size with the same smallest token in one of
+    ``ORDERS`` hash orders, cut into about ``GROUP``.  A group is compared
+    with itself first.  Then two groups meet if parts of them that are not yet
+    one component share enough prefix tokens; the union of one group's tokens
+    bounds the overlap of each document of the other before sets are compared.
+    A family of near copies thus costs pairs of groups, not of documents.
     """
     docs = docs.select("doc_id", "text")
     sc = docs.sparkSession.sparkContext
-    sig = cut_lineage(docs.mapInArrow(_sketch(size, num, den), "doc_id long, n long, node long, low array<long>"))
-    counted = sig.select(F.explode("low").alias("token")).groupBy("token").count().where(F.col("count") >= HOT_COUNT)
-    hot = [r[0] for r in counted.orderBy(F.col("count").desc(), "token").limit(HOT_TOKENS).collect()]
-    hot = sc.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
+    sig = cut_lineage(docs.mapInArrow(_sketch(size, num, den), "doc_id long, n long, node long, low array<long>, least array<long>"))
+    counted = sig.select(F.explode("low").alias("token")).groupBy("token").count()
+    order = sc.broadcast(Order(counted))
 
     nodes = sig.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min(F.element_at("low", 1)).alias("least")
+        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.min(F.col("least")[k]).alias(f"least{k}") for k in range(ORDERS)]
     )
+    nodes = cut_lineage(nodes)
     step = F.floor(F.log(F.col("n")) / float(np.log(den / num))) if num < den else F.col("n")
-    nodes = cut_lineage(nodes.withColumn("key", F.xxhash64("least", step)).drop("least"))
-    many = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(1)) / GROUP))
-    nodes = cut_lineage(
-        nodes.join(cut_lineage(many), "key", "left").select("node", "doc_id", "n", F.xxhash64("key", part).alias("gid"))
-    )
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col(f"least{k}"), step) for k in range(ORDERS)]))
+    keyed = cut_lineage(nodes.select("node", keys.alias("key")))
+    many = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    # the most popular of its keys names a document's group
+    best = keyed.join(many, "key").groupBy("node").agg(F.max(F.struct("size", "key")).alias("best"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("best.size") / GROUP))
+    gid = F.when(F.col("best").isNull(), F.xxhash64("node")).otherwise(F.xxhash64("best.key", part)).alias("gid")
+    nodes = cut_lineage(nodes.join(best, "node", "left").select("node", "doc_id", "n", gid))
 
     # inside the groups
     schema = "a long, b long"
     shared = nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("gid")
     mates = cut_lineage(nodes.join(cut_lineage(shared), "gid").select("doc_id", "node", "gid"))
-    sets = _token_sets(docs, mates.select("doc_id", "node"), size).join(mates.select("node", "gid"), "node")
-    alone = sets.select("gid", F.lit(0).alias("block"), "node", F.lit(False).alias("query"), "tokens")
-    inner = cut_lineage(alone.groupBy("gid", "block").applyInArrow(_links(num, den), schema))
+    inner = cut_lineage(_group_sets(docs, mates, size).groupBy("gid").applyInArrow(_links(num, den), schema))
     label = components(inner)
-    nodes = cut_lineage(
-        nodes.join(label, "node", "left").select("node", "doc_id", "n", "gid", F.coalesce("component", "node").alias("comp"))
-    )
+    comp = F.coalesce("component", "node").alias("comp")
+    nodes = cut_lineage(nodes.join(label, "node", "left").select("node", "doc_id", "n", "gid", comp))
 
-    # across: a document and the groups it shares a prefix token with
-    prefix = docs.mapInArrow(_prefixes(size, num, den, hot), "doc_id long, node long, tokens array<long>")
+    # across: two groups that share prefix tokens in parts of different components
+    prefix = docs.mapInArrow(_prefixes(size, num, den, order), "doc_id long, node long, tokens array<long>")
     own = nodes.withColumnRenamed("doc_id", "rep")
-    prefix = cut_lineage(prefix.join(own, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep"))
-    post = prefix.select(F.explode("tokens").alias("token"), "node", "n", "gid", "comp")
-    bridges = post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    post = cut_lineage(post.join(cut_lineage(bridges), "token"))
-    held = post.groupBy("token", "gid", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    held = cut_lineage(held.select("token", "least", "most", F.col("gid").alias("to"), F.col("comp").alias("to_comp")))
-    meets = (F.col("gid") != F.col("to")) & (F.col("comp") < F.col("to_comp"))
-    fits = (F.col("most") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least") * num)
-    asks = cut_lineage(post.join(held, (post["token"] == held["token"]) & meets & fits).select("node", F.col("to").alias("gid")).distinct())
-
-    blocks = asks.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    asks = cut_lineage(asks.join(cut_lineage(blocks), "gid").select("gid", block, "node", F.lit(True).alias("query")))
-    told = asks.select("gid", "block").distinct().join(nodes.select("gid", "node"), "gid")
-    rows = cut_lineage(asks.unionByName(told.select("gid", "block", "node", F.lit(False).alias("query"))))
-    reps = rows.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = _token_sets(docs, reps.select("doc_id", "node"), size)
-    outer = rows.join(sets, "node").select("gid", "block", "node", "query", "tokens")
-    outer = cut_lineage(outer.groupBy("gid", "block").applyInArrow(_links(num, den), schema))
+    prefix = cut_lineage(prefix.join(own, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep", "node"))
+    held = prefix.select(F.explode("tokens").alias("token"), "comp").groupBy("token")
+    bridges = held.agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    meeting = prefix.select("gid", "comp", "n", "tokens").mapInArrow(
+        _meeting(num, den, sc.broadcast(Bitmap(bridges))), "gid long, comp long, n long, tokens array<long>"
+    )
+    held = meeting.select("gid", "comp", "n", F.explode("tokens").alias("token")).groupBy("token", "gid")
+    held = cut_lineage(held.agg(*[f(c).alias(f"{k}_{c}") for c in ("n", "comp") for k, f in (("low", F.min), ("top", F.max))]))
+    other = held.select("token", *[F.col(c).alias(f"to_{c}") for c in held.columns if c != "token"])
+    one = (F.col("low_comp") == F.col("top_comp")) & (F.col("to_low_comp") == F.col("to_top_comp")) & (F.col("low_comp") == F.col("to_low_comp"))
+    fits = (F.col("top_n") * den >= F.col("to_low_n") * num) & (F.col("to_top_n") * den >= F.col("low_n") * num)
+    met = held.join(other, (held["token"] == other["token"]) & (F.col("gid") < F.col("to_gid")) & ~one & fits).groupBy("gid", "to_gid")
+    smaller = F.least(F.min("low_n"), F.min("to_low_n"))
+    enough = 1 + F.least(F.lit(SHARED - 1), F.floor((smaller - F.ceil(smaller * num / den)) / 2))
+    pairs = cut_lineage(met.agg(F.count(F.lit(1)).alias("shared"), enough.alias("enough")).where("shared >= enough").select("gid", "to_gid"))
+
+    opened = pairs.select("gid").unionByName(pairs.select(F.col("to_gid").alias("gid"))).distinct()
+    sets = _group_sets(docs, cut_lineage(nodes.join(cut_lineage(opened), "gid").select("doc_id", "node", "gid")), size)
+    sides = [pairs.join(sets.withColumnRenamed("gid", c), c).select("gid", "to_gid", "nodes", "tokens") for c in ("gid", "to_gid")]
+    outer = sides[0].unionByName(sides[1]).groupBy("gid", "to_gid").applyInArrow(_links(num, den), schema)
+    outer = cut_lineage(outer)
 
     label = components(inner.unionByName(outer))
     nodes = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))

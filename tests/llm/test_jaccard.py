@@ -47,8 +47,7 @@ EDGE = ["", None, "  \t\n ", "one", "One", "one two", "ONE\ttwo", "one two three
 @pytest.mark.parametrize("size,num,den", [(3, 90, 100), (5, 80, 100), (2, 100, 100)])
 def test_same_as_all_pairs(spark, monkeypatch, size, num, den):
     monkeypatch.setattr(jaccard, "GROUP", 4)
-    monkeypatch.setattr(jaccard, "QUERIES", 3)
-    monkeypatch.setattr(jaccard, "HOT_COUNT", 5)
+    monkeypatch.setattr(jaccard, "HOT_TOKENS", 5)
     rows = list(enumerate(texts(1) + EDGE + EDGE))
     df = spark.createDataFrame([(i, t, "a", i) for i, t in rows], "doc_id long, text string, node string, gid long").repartition(5)
     got = sorted(map(tuple, jaccard.jaccard_components(df, size, num, den).collect()), key=str)
