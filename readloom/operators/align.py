@@ -18,9 +18,6 @@ TAG_FIELDS = ["t_pos", "delta", "base", "p_t_pos", "p_delta", "p_base"]
 PAIRS_AT_ONCE = 256
 BASES_AT_ONCE = 4_000_000
 
-MAX_INSERTION = 255
-
-
 def _chunks(queries: list[bytes], targets: list[bytes]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i in range(len(queries)):
@@ -106,8 +103,7 @@ def _gapped(text: bytes, ops: np.ndarray, gap_op: int) -> str:
 def tag_arrays(query: bytes, ops: np.ndarray, offset: int):
     """Position, insertion ordinal and base of each column and of the one before.
 
-    Tagging stops at a column in front of position 0 or at an insertion run of
-    ``MAX_INSERTION``.
+    Tagging stops at a column in front of position 0.
     """
     on_query, on_target = ops != 2, ops != 1
     t_pos = np.cumsum(on_target) - 1
@@ -116,7 +112,7 @@ def tag_arrays(query: bytes, ops: np.ndarray, offset: int):
     delta = np.where(on_target, 0, step - anchor)
     base = np.full(ops.size, ord("-"), dtype=np.uint8)
     base[on_query] = np.frombuffer(query, dtype=np.uint8)[: int(on_query.sum())]
-    bad = np.flatnonzero((t_pos + offset < 0) | (delta >= MAX_INSERTION))
+    bad = np.flatnonzero(t_pos + offset < 0)
     size = int(bad[0]) if bad.size else ops.size
     t_pos, delta, base = t_pos[:size] + offset, delta[:size], base[:size]
     return (

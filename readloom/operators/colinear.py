@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 SIDES = ["id0", "id1"]
 
-# Fixed value: more chains shorter than three than this end the search of a pair.
-SMALL_CHAINS = 4800
-
-
 def shared_minimizers(
     left: DataFrame, right: DataFrame, direction: int = 0, max_repeat: int = 1
 ) -> DataFrame:
@@ -50,34 +46,26 @@ def colinear_chains(
         import numpy as np
 
         pdf = pdf.sort_values(["idx1", "idx0"], key=lambda c: c * sign if c.name == "idx1" else c)
-        idx0, pos0, diag, idx1 = (pdf[c].to_numpy() for c in ("idx0", "pos0", "diag", "idx1"))
-        tail: list[int] = []
-        size: list[int] = []
-        chain = np.full(len(pdf), -1, dtype=np.int64)
-        stop = None
+        idx0, pos0, diag = (pdf[c].to_numpy().astype(np.int64) for c in ("idx0", "pos0", "diag"))
+        chain = np.zeros(len(pdf), dtype=np.int64)
+        # the last anchor of every open chain
+        last = np.zeros((3, 64), dtype=np.int64)
+        open_ = 0
         for i in range(len(pdf)):
-            if stop is not None and idx1[i] != stop:
-                break
-            ends = np.array(tail, dtype=np.int64)
-            small = int((np.array(size) < 3).sum()) if size else 0
-            off = np.abs(diag[ends] - diag[i]) if tail else np.zeros(0)
-            near = (
-                (idx0[ends] <= idx0[i]) & (np.abs(pos0[ends] - pos0[i]) < max_dist) & (off < max_diff)
-                if tail
-                else np.zeros(0, bool)
-            )
+            end_idx, end_pos, end_diag = last[:, :open_]
+            off = np.abs(end_diag - diag[i])
+            near = (end_idx <= idx0[i]) & (np.abs(end_pos - pos0[i]) < max_dist) & (off < max_diff)
             if near.any():
                 c = int(np.argmin(np.where(near, off, max_diff)))
-                tail[c], size[c] = i, size[c] + 1
             else:
-                c = len(tail)
-                tail.append(i)
-                size.append(1)
+                c = open_
+                open_ += 1
+                if c == last.shape[1]:
+                    last = np.concatenate([last, np.zeros_like(last)], axis=1)
+            last[:, c] = idx0[i], pos0[i], diag[i]
             chain[i] = c
-            if small > SMALL_CHAINS:
-                stop = idx1[i]
         pdf["chain"] = chain
-        return pdf[pdf["chain"] >= 0][["id0", "id1", "chain", "idx0", "idx1", "pos0", "pos1"]]
+        return pdf[["id0", "id1", "chain", "idx0", "idx1", "pos0", "pos1"]]
 
     return anchors.groupBy(*SIDES).applyInPandas(
         link, "id0 long, id1 long, chain long, idx0 int, idx1 int, pos0 int, pos1 int"

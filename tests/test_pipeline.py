@@ -185,23 +185,23 @@ def test_mapping_splits_hot_pairs(spark, monkeypatch):
 
 
 def brute_windows(spots, length, cfg):
-    cuts, anchor, group = [], cfg.window_lead, []
+    """Bounds and spots of every window; long ones are cut every ``window`` bases."""
+    bounds, anchor = [], cfg.window_lead
     for s in spots:
-        if s - anchor < cfg.window:
-            group.append(s)
-        else:
-            cuts.append([anchor, s, group if s - anchor < cfg.window_limit else []])
-            anchor, group = s, [s]
-    rest = length - anchor
-    if rest >= cfg.window_limit:
-        cuts.append([anchor, length, []])
-    elif rest > cfg.window_lead:
-        cuts.append([anchor, length, group])
-    elif cuts:
-        cuts[-1][1] = length
-        cuts[-1][2] = cuts[-1][2] + group
-    else:
-        cuts.append([anchor, length, []])
+        if s - anchor >= cfg.window:
+            bounds.append((anchor, s))
+            anchor = s
+    if length - anchor > cfg.window_lead or not bounds:
+        bounds.append((anchor, length))
+    cuts = []
+    for a, stop in bounds:
+        marks = [a]
+        if stop - a >= cfg.window_limit:
+            marks += [m for m in range(a + cfg.window, stop, cfg.window) if stop - m > cfg.window_lead]
+        cuts += [[x, y, []] for x, y in zip(marks, [*marks[1:], stop])]
+    cuts[-1][1] = length
+    for s in spots:
+        cuts[max((i for i, c in enumerate(cuts) if c[0] <= s), default=0)][2].append(s)
     return cuts
 
 
@@ -264,6 +264,10 @@ def test_window_stitching(spark):
     g = random_seq(random.Random(1), 6000)
     df = spark.createDataFrame([(1, 0, g[:2500]), (1, 1, g[1500:4500]), (1, 2, g[3500:])], "ctg long, win int, seq string")
     assert consensus.stitch_windows(df).first().seq == g
+    # another lead, and texts shorter than it
+    df = spark.createDataFrame([(1, 0, g[:2100]), (1, 1, g[2000:4000]), (2, 0, g[:80]), (2, 1, g[30:2000])], "ctg long, win int, seq string")
+    got = {r.ctg: r.seq for r in consensus.stitch_windows(df, tail=100, lead=150).collect()}
+    assert got == {1: g[:4000], 2: g[:2000]}
 
 
 def test_colinear_chains(spark):
