@@ -11,7 +11,7 @@ import re
 from readloom.plans.frames import (
     BESTN, BUCKET_UPPER, END_LENGTH, FUZZ, K, MC_LOWER, MC_UPPER, MIN_DISTANCE, REDUCTION, W,
 )
-from readloom.sources.tables import LETTER_BASES, LETTERS
+from readloom.sources.tables import DIGIT_BASES, DIGITS
 
 MASK = (1 << 2 * K) - 1
 
@@ -21,10 +21,7 @@ def _lag_sum(term: str, k: int) -> str:
 
 
 def _as_bases(table: str, key: str) -> str:
-    return (
-        f"SELECT {key} AS rid, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{LETTER_BASES}') AS seq"
-        f" FROM {table}"
-    )
+    return f"SELECT {key} AS rid, translate(hex(encode(text)), '{DIGITS}', '{DIGIT_BASES}') AS seq FROM {table}"
 
 
 def _mix(key: str) -> list[str]:

@@ -1,24 +1,22 @@
 """Sequence views over text tables.
 
-Letters map to bases by position in the alphabet, everything else is dropped.
+Every byte of a text becomes two bases, one for each of its hexadecimal digits.
 """
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.session import spread
 
-# Alphabet and the base each letter stands for (ACGT repeated).
-LETTERS = string.ascii_uppercase + string.ascii_lowercase
-LETTER_BASES = ("ACGT" * 7)[:26] * 2
+# Hexadecimal digits and the base each stands for
+DIGITS = "0123456789ABCDEF"
+DIGIT_BASES = "ACGT" * 4
 
 
 def as_bases(text):
-    return F.translate(F.regexp_replace(text, "[^A-Za-z]", ""), LETTERS, LETTER_BASES)
+    return F.translate(F.hex(F.encode(text, "UTF-8")), DIGITS, DIGIT_BASES)
 
 
 def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
