@@ -20,7 +20,6 @@ SAMPLE = 12_000  # documents that the scorer is fitted on, those of the smallest
 TERMS = 60_000  # labelled documents that the list of toxic terms is fitted on, chosen the same way
 TERM_SHARE, TERM_DOCS = 0.97, 5  # a toxic term: this share of at least so many documents with it is labelled toxic
 TERM_LIST = 5_000  # terms kept at most, the most frequent
-Z = 5.0  # a feature is kept if its use differs by so many standard errors between the classes
 
 # Frequent function words of some languages
 STOP = (
@@ -241,7 +240,9 @@ def fit(good: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, float
     used = np.bincount(col, minlength=1 << BITS)
     base = good.mean()
     spread = np.sqrt(np.maximum(used * base * (1 - base), 1e-9))
-    kept = np.flatnonzero((used >= 3) & (np.abs(share - used * base) >= Z * spread))
+    # so many standard errors are what the largest of as many chance differences reaches
+    z = np.sqrt(2 * np.log(max((used >= 3).sum(), 2)))
+    kept = np.flatnonzero((used >= 3) & (np.abs(share - used * base) >= z * spread))
     number = np.full(1 << BITS, -1)
     number[kept] = np.arange(len(kept))
     own = number[col] >= 0
