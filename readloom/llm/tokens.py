@@ -9,13 +9,13 @@ white space) go to the library whole.
 from __future__ import annotations
 
 import functools
+import os
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
-CACHED = 250_000  # pieces a worker remembers before it starts anew
-LONGEST = 64  # characters of a piece worth remembering
+CACHED = 500_000  # pieces a worker remembers before it starts anew
 # one blank belongs to the word behind it; of a longer run the last character stands alone or leads the word
 BYTE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 WORD_PIECES = re.compile(r"\S+")
@@ -31,12 +31,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # a byte-level vocabulary keeps white space, the other kind drops it
-        self.keeps_space = bool(self._encode(" "))
-        if self.keeps_space:
-            self.pieces, self.between = BYTE_PIECES, "\n"
-        else:
-            self.pieces, self.between = WORD_PIECES, self.special[-1]
-        self.between_id = self._encode(self.between)
+        self.pieces = BYTE_PIECES if self._encode(" ") else WORD_PIECES
         self._clear()
 
     def _encode(self, text: str) -> list[int]:
@@ -60,17 +55,9 @@ class Encoder:
         self.used += len(ids)
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if not p.isspace() and len(p) <= LONGEST]
-        if plain and len(self.between_id) == 1:
-            ids = np.array(self._encode(self.between.join(plain)), np.uint32)
-            cut = np.flatnonzero(ids == self.between_id[0])
-            if len(cut) == len(plain) - 1:
-                size = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
-                self._add(plain, np.delete(ids, cut), size)
-                pieces = [p for p in pieces if p.isspace() or len(p) > LONGEST]
-        for p in pieces:
-            ids = self._encode(p)
-            self._add([p], np.array(ids, np.uint32), np.array([len(ids)]))
+        lists = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._add(pieces, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the n + 1 offsets between the texts."""
@@ -104,4 +91,6 @@ class Encoder:
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     """The encoder of a worker process; it stays for the tasks to come."""
+    # one task, one core
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
