@@ -64,7 +64,11 @@ class _Lanes:
         self.h2 = ((ids * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift).astype(np.int64)
         self.last = np.zeros(lanes, np.int64)
         self.last2 = np.zeros(lanes, np.int64)
-        self.run_base = np.arange(lanes, dtype=np.int64) * RUNS
+        self.lane = np.arange(lanes, dtype=np.int64)
+        self.run_base = self.lane * RUNS
+        self.bounds = np.zeros((5, lanes), np.int64)
+        self.bounds[4] = 1 << CHOICE_BITS
+        self.flat_bounds = self.bounds.ravel()
         # hits and trials per block and run of hits, and the trust that follows from them
         self.hits = [np.tile(np.arange(RUNS) * 0.5 + 0.05, (lanes, 1)) for _ in range(2)]
         self.tries = [np.tile(np.arange(RUNS) * 0.6 + 1.0, (lanes, 1)) for _ in range(2)]
@@ -116,21 +120,28 @@ class _Lanes:
         self.lane_at = (np.arange(self.lanes, dtype=np.int64) + 1) << 24
 
     def predict(self) -> None:
-        self.slot1 = self.h1[self.last] + self.base
-        self.slot2 = (self.h2[self.last2] ^ self.h1[self.last]) + self.base
-        e1, e2 = self.one[self.slot1], self.two[self.slot2]
+        own = self.h1.take(self.last)
+        self.slot1 = own + self.base
+        self.slot2 = (self.h2.take(self.last2) ^ own) + self.base
+        e1, e2 = self.one.take(self.slot1), self.two.take(self.slot2)
         self.p1, self.run1 = e1 >> 4, e1 & 15
         self.p2, self.run2 = e2 >> 4, e2 & 15
         top = 1 << CHOICE_BITS
-        a = self.trust2[self.run2 + self.run_base]
+        a, b, c = self.bounds[1], self.bounds[2], self.bounds[3]
+        self.trust2.take(self.run2 + self.run_base, out=a, mode="clip")
         # every choice keeps a width of one at least
-        b = a + 1 + ((top - 8 - a) * self.trust1[self.run1 + self.run_base] >> CHOICE_BITS)
-        c = b + 1 + ((top - 2 - b) * self.trust0 >> CHOICE_BITS)
-        self.bounds = np.stack([np.zeros_like(a), a, b, c, np.full_like(a, top)])
+        np.add(a, 1 + ((top - 8 - a) * self.trust1.take(self.run1 + self.run_base) >> CHOICE_BITS), out=b)
+        np.add(b, 1 + ((top - 2 - b) * self.trust0 >> CHOICE_BITS), out=c)
+
+    def span(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of what was chosen."""
+        at = choice * self.lanes + self.lane
+        return self.flat_bounds.take(at), self.flat_bounds.take(at + self.lanes)
 
     def update(self, x: np.ndarray, choice: np.ndarray) -> None:
+        moved = x << 4
         for table, slot, p, run in ((self.one, self.slot1, self.p1, self.run1), (self.two, self.slot2, self.p2, self.run2)):
-            table[slot] = (x << 4) + np.where(x == p, np.minimum(run + 1, RUNS - 1), 0)
+            table[slot] = moved + np.minimum(run + 1, RUNS - 1) * (x == p)
         self.past.append((self.run2, self.run1, choice))
         self.ids[self.t] = x
         self.last2, self.last = self.last, x
@@ -148,32 +159,37 @@ def _encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 62, np.int64)
     words = np.zeros((int(sizes[0]) + 4, lanes), np.int64)
     count = np.zeros(lanes, np.int64)
-    lane = np.arange(lanes)
+    lane, shortest = np.arange(lanes), int(sizes[-1])
     for t in range(int(sizes[0])):
         x = ids[t]
-        live = t < sizes
         model.predict()
-        choice = np.full(lanes, 3)
-        rest = np.flatnonzero((x != model.p1) & (x != model.p2))
-        row = x[rest]
+        hit1, hit2 = x == model.p1, x == model.p2
+        choice = 3 - 2 * hit1
+        choice[hit2] = 0
+        rest = np.flatnonzero(choice == 3)
+        row = x.take(rest)
         if len(model.keys):
-            key = x[rest] + (rest << 16)
+            key = row + (rest << 16)
             at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
-            seen = model.keys[at] == key
+            seen = model.keys.take(at) == key
             choice[rest[seen]] = 2
-            row[seen] = at[seen] + IDS
-        choice[x == model.p1] = 1
-        choice[x == model.p2] = 0
-        start, stop = model.bounds[choice, lane], model.bounds[choice + 1, lane]
+            row = np.where(seen, at + IDS, row)
+        start, stop = model.span(choice)
         unit = span >> CHOICE_BITS
-        low += np.where(live, unit * start, 0)
-        span = np.where(live, unit * (stop - start), span)
-        ok = live[rest]
-        rest, row = rest[ok], row[ok]
-        total = np.where(row < IDS, PRIOR_TOTAL, model.totals[rest])
-        unit = span[rest] // total
-        low[rest] += unit * (model.starts[row] & 0xFFFFFF)
-        span[rest] = unit * (model.ends[row] - model.starts[row])
+        if t < shortest:
+            low += unit * start
+            span = unit * (stop - start)
+        else:
+            live = t < sizes
+            low += np.where(live, unit * start, 0)
+            span = np.where(live, unit * (stop - start), span)
+            ok = live[rest]
+            rest, row = rest[ok], row[ok]
+        total = np.where(row < IDS, PRIOR_TOTAL, model.totals.take(rest))
+        unit = span.take(rest) // total
+        start = model.starts.take(row)
+        low[rest] += unit * (start & 0xFFFFFF)
+        span[rest] = unit * (model.ends.take(row) - start)
         over = low >> 62
         if over.any():
             at = np.flatnonzero(over)
@@ -205,28 +221,34 @@ def _decode(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
     for k, p in enumerate(payloads):
         words[k, : length[k]] = np.frombuffer(p, "<u4")
     code, span, at = (words[:, 0] << LOW_BITS) + (words[:, 1] >> 2), np.full(lanes, 1 << 62, np.int64), np.ones(lanes, np.int64)
-    lane, top = np.arange(lanes), (1 << CHOICE_BITS) - 1
+    top, shortest = (1 << CHOICE_BITS) - 1, int(sizes[-1])
     for t in range(int(sizes[0])):
-        live = t < sizes
         model.predict()
         unit = span >> CHOICE_BITS
         value = np.minimum(code // unit, top)
-        choice = (value >= model.bounds[1]).astype(np.int64) + (value >= model.bounds[2]) + (value >= model.bounds[3])
-        start, stop = model.bounds[choice, lane], model.bounds[choice + 1, lane]
+        choice = (value >= model.bounds[1]).astype(np.int64)
+        choice += value >= model.bounds[2]
+        choice += value >= model.bounds[3]
+        start, stop = model.span(choice)
         code = code - unit * start
         span = unit * (stop - start)
         x = np.where(choice == 0, model.p2, model.p1)
-        rest = np.flatnonzero((choice > 1) & live)
-        seen = choice[rest] == 2
-        total = np.where(seen, model.totals[rest], PRIOR_TOTAL)
-        unit = span[rest] // total
-        value = np.minimum(code[rest] // unit, total - 1)
-        row = np.searchsorted(model.starts, value + np.where(seen, model.lane_at[rest], 0), "right") - 1
-        x[rest] = model.symbols[row]
-        code[rest] -= unit * (model.starts[row] & 0xFFFFFF)
-        span[rest] = unit * (model.ends[row] - model.starts[row])
-        if not live.all():
-            x[~live], span[~live], code[~live] = 0, 1 << 61, 0
+        far = choice > 1
+        if t >= shortest:
+            far &= t < sizes
+        rest = np.flatnonzero(far)
+        seen = choice.take(rest) == 2
+        total = np.where(seen, model.totals.take(rest), PRIOR_TOTAL)
+        unit = span.take(rest) // total
+        value = np.minimum(code.take(rest) // unit, total - 1)
+        row = np.searchsorted(model.starts, value + model.lane_at.take(rest) * seen, "right") - 1
+        x[rest] = model.symbols.take(row)
+        start = model.starts.take(row)
+        code[rest] -= unit * (start & 0xFFFFFF)
+        span[rest] = unit * (model.ends.take(row) - start)
+        if t >= shortest:
+            done = t >= sizes
+            x[done], span[done], code[done] = 0, 1 << 61, 0
         low = np.flatnonzero(span < 1 << LOW_BITS)
         # two bits of the word behind the read position are still to come
         word, behind = words[low, at[low]], words[low, at[low] + 1]
