@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from readloom.llm import kernel
 from readloom.llm.tokens import encoder
 
-BLOCK = 4096  # ids of a block
-FRAME = 2_000_000  # ids of a frame at least, unless its partition ends
-LANES = 512  # blocks that are coded side by side
+BLOCK = 2048  # ids of a block
+FRAME = 4_000_000  # ids of a frame at least, unless its partition ends
+LANES = 2048  # blocks that are coded side by side
 
-SLOT_BITS = 12  # slots of an order-1 or order-2 table
+SLOT_BITS = 11  # slots of an order-1 or order-2 table
 RUNS = 16  # hit runs told apart
 TURN = 64  # ids after which a block looks at its hits anew
-TABLES = (64, 256, 1024, 2048)  # ids after which the order-0 table is built anew
+TABLES = (64, 256, 1024)  # ids after which the order-0 table is built anew
 CHOICE_BITS = 12
 LOW_BITS, WORD_BITS = 30, 32  # the range stays above 2^30; 32 bits leave at a time
 IDS = 1 << 16  # ids are below this
