@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,6 +48,9 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared}/readloom-{sc.applicationId}"
 
 
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch_scope", default=None)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
@@ -56,7 +62,53 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if (held := _scope.get()) is not None:
+        held.append(path)
+    return out
+
+
+class Scratch:
+    """Tables that ``cut_lineage`` wrote since the scope began."""
+
+    def __init__(self, spark: SparkSession, paths: list[str]):
+        self.spark, self.paths, self.kept = spark, paths, set()
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Tables that outlive the scope."""
+        self.kept |= {f._scratch_path for f in frames}
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Tables nothing will read again."""
+        self.delete([f._scratch_path for f in frames])
+
+    def delete(self, paths: list[str]) -> None:
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            if path in self.paths:
+                self.paths.remove(path)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes the tables written inside when it ends, but for those that were kept.
+
+    What a scope keeps belongs to the scope around it.
+    """
+    paths: list[str] = []
+    outer = _scope.get()
+    token = _scope.set(paths)
+    scratch = Scratch(spark, paths)
+    try:
+        yield scratch
+    finally:
+        _scope.reset(token)
+        if outer is not None:
+            outer.extend(scratch.kept)
+        scratch.delete([p for p in paths if p not in scratch.kept])
 
 
 def spread(df: DataFrame) -> DataFrame:
