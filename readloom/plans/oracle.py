@@ -21,7 +21,8 @@ def _lag_sum(term: str, k: int) -> str:
 
 
 def _as_bases(table: str, key: str) -> str:
-    return f"SELECT {key} AS rid, translate(hex(encode(text)), '{DIGITS}', '{DIGIT_BASES}') AS seq FROM {table}"
+    digits = "regexp_replace(hex(encode(text)), '.(.)', '\\1', 'g')"
+    return f"SELECT {key} AS rid, translate({digits}, '{DIGITS}', '{DIGIT_BASES}') AS seq FROM {table}"
 
 
 def _mix(key: str) -> list[str]:

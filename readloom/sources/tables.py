@@ -1,6 +1,6 @@
 """Sequence views over text tables.
 
-Every byte of a text becomes two bases, one for each of its hexadecimal digits.
+Every byte of a text becomes one base, by its last hexadecimal digit.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ DIGIT_BASES = "ACGT" * 4
 
 
 def as_bases(text):
-    return F.translate(F.hex(F.encode(text, "UTF-8")), DIGITS, DIGIT_BASES)
+    digits = F.regexp_replace(F.hex(F.encode(text, "UTF-8")), ".(.)", "$1")
+    return F.translate(digits, DIGITS, DIGIT_BASES)
 
 
 def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
