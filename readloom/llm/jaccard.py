@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from readloom.llm import kernel
 from readloom.llm.components import components
-from readloom.session import cut_lineage
+from readloom.session import cut_lineage, scratch_scope
 
 GROUP = 96  # documents of a group
 ORDERS = 4  # hash orders whose smallest tokens may name a document's group
 LATE_COUNT = 4  # a token of this many documents is put behind all rarer ones
-WINDOW = 24  # tokens that are counted beyond as many as a prefix
+WINDOW = 4  # tokens that are counted beyond as many as a prefix
 MAP_BITS = 26  # of a map that tells tokens apart: 8 MB; tokens that it mistakes cost time, not results
 HOT_TOKENS = 50_000  # the most frequent come last, in the order of their counts: 800 kB
 NEAR_IDS = 200_000  # a list of so many ids at most is broadcast: 3 MB
@@ -235,16 +235,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     bounds the overlap of each document of the other before sets are compared.
     A family of near copies thus costs pairs of groups, not of documents.
     """
-    docs = docs.select("doc_id", "text")
+    with scratch_scope(docs.sparkSession) as scratch:
+        return _components(docs.select("doc_id", "text"), size, num, den, scratch)
+
+
+def _components(docs: DataFrame, size: int, num: int, den: int, scratch) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     sig = cut_lineage(docs.mapInArrow(_sketch(size, num, den), "doc_id long, n long, node long, low array<long>, least array<long>"))
     counted = sig.select(F.explode("low").alias("token")).groupBy("token").count()
     order = sc.broadcast(Order(counted))
+    wide = sig
 
     nodes = sig.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.min(F.col("least")[k]).alias(f"least{k}") for k in range(ORDERS)]
     )
     nodes = cut_lineage(nodes)
+    sig = cut_lineage(wide.select("doc_id", "n", "node"))
+    scratch.drop(wide)
     step = F.floor(F.log(F.col("n")) / float(np.log(den / num))) if num < den else F.col("n")
     keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col(f"least{k}"), step) for k in range(ORDERS)]))
     keyed = cut_lineage(nodes.select("node", keys.alias("key")))
@@ -283,6 +290,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     enough = 1 + F.least(F.lit(SHARED - 1), F.floor((smaller - F.ceil(smaller * num / den)) / 2))
     pairs = cut_lineage(met.agg(F.count(F.lit(1)).alias("shared"), enough.alias("enough")).where("shared >= enough").select("gid", "to_gid"))
 
+    scratch.drop(prefix, held)
+
     opened = pairs.select("gid").unionByName(pairs.select(F.col("to_gid").alias("gid"))).distinct()
     sets = _group_sets(docs, cut_lineage(nodes.join(cut_lineage(opened), "gid").select("doc_id", "node", "gid")), size)
     sides = [pairs.join(sets.withColumnRenamed("gid", c), c).select("gid", "to_gid", "nodes", "tokens") for c in ("gid", "to_gid")]
@@ -294,6 +303,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     nodes = cut_lineage(nodes)
     least = cut_lineage(nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     named = cut_lineage(nodes.join(least, "comp").select("node", "component_id"))
+    scratch.keep(sig, named)
     full = sig.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

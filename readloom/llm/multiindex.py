@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm import kernel
 from readloom.llm.components import components
-from readloom.session import cut_lineage
+from readloom.session import cut_lineage, scratch_scope
 
 SAMPLE = 20_000  # vectors that codebooks and traversal depth are fitted on, those of the smallest id hashes
 RECALL = 0.9995  # of pairs at the threshold itself, the hardest; closer ones are found more often
@@ -165,7 +165,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     How many cells are visited follows from the target recall for pairs at the
     threshold.
     """
-    rows = vectors.select("vec_id", "embedding", "label")
+    with scratch_scope(vectors.sparkSession) as scratch:
+        return _near(vectors.select("vec_id", "embedding", "label"), least, scratch)
+
+
+def _near(rows: DataFrame, least: float, scratch) -> DataFrame:
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = F.col("label").isNotNull() & x.isNotNull() & finite & F.exists(x, lambda v: v != 0)
@@ -183,6 +187,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     for size in sizes:
         part = _linked(nodes.where(F.size("vector") == size), least)
         found = part if found is None else found.unionByName(part)
+    scratch.keep(rows)
     plain = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if found is not None:
         found = cut_lineage(found)
@@ -193,7 +198,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         )
         least_id = cut_lineage(named.groupBy("component").agg(F.min("least_id").alias("component_id")))
         named = named.join(least_id, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-        full = good.select("vec_id", F.col("key").alias("node")).join(cut_lineage(named), "node").select("vec_id", "n_links", "component_id")
+        named = cut_lineage(named)
+        scratch.keep(named)
+        full = good.select("vec_id", F.col("key").alias("node")).join(named, "node").select("vec_id", "n_links", "component_id")
         plain = full.unionByName(plain)
     return plain.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
