@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from readloom.llm import kernel
 from readloom.llm.components import components
-from readloom.session import cut_lineage
+from readloom.session import cut_lineage, scratch_scope
 
 DISTANCE = 3  # bits in which the SimHashes of near lines may differ
 BLOCKS = DISTANCE + 2  # of any two such hashes, at least two blocks are equal: every pair of blocks is a key
 EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 NEAR_LINES = 200_000  # places of so many lines at most are broadcast: 5 MB
+LEAST_WORDS = 5  # lines of fewer words are repeated only if they are equal
 SIMILAR = 0.9  # share of the longer line that edits leave
 
 
@@ -60,6 +61,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.unpackbits(word[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
             ones[a:b] = np.add.reduceat(bits, first[a:b] - lo, axis=0, dtype=np.int32)
         sim = np.packbits(2 * ones > count[:, None], axis=1).view(np.uint64).ravel()
+        # code points of the normalised line
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        size = np.add.reduceat(points[ends] - points[starts], first) + count - 1
         number = line[first]
         begin = cuts[number]
         row = np.searchsorted(off, begin, "right") - 1
@@ -67,8 +71,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = np.searchsorted(breaks, begin)
         at = before - np.searchsorted(breaks, off[row])
         yield pa.RecordBatch.from_arrays(
-            [part.column("uid").take(pa.array(row)), part.column("doc_id").take(pa.array(row)), pa.array(at, pa.int64()), pa.array(kernel.mix(key).view(np.int64)), pa.array(sim.view(np.int64))],
-            names=["uid", "doc_id", "line", "key", "sim"],
+            [part.column("uid").take(pa.array(row)), part.column("doc_id").take(pa.array(row)), pa.array(at, pa.int64()), pa.array(kernel.mix(key).view(np.int64)), pa.array(sim.view(np.int64), mask=count < LEAST_WORDS), pa.array(size)],
+            names=["uid", "doc_id", "line", "key", "sim", "size"],
         )
 
 
@@ -81,10 +85,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFra
         pairs = pairs.join(text.select(F.col("key").alias(end), F.col("line_text").alias(f"text_{end}")), end)
     long_, short = F.greatest(F.length("text_a"), F.length("text_b")), F.least(F.length("text_a"), F.length("text_b"))
     pairs = pairs.withColumn("allowed", F.floor(long_ * (1 - SIMILAR) + 1e-9)).where(long_ - short <= F.col("allowed"))
-    # the distance is computed within a band; its width is the next power of four
+    # within bands of growing width: most pairs are a few edits apart, and a narrow band costs little
     edits = F.levenshtein("text_a", "text_b")
     for band in reversed([4**k for k in range(1, 10)]):
-        edits = F.when(F.col("allowed") <= band, F.levenshtein("text_a", "text_b", band)).otherwise(edits)
+        within = F.levenshtein("text_a", "text_b", band)
+        edits = F.when(within >= 0, within).when(F.col("allowed") <= band, -1).otherwise(edits)
     return cut_lineage(pairs.withColumn("edits", edits).where("edits between 0 and allowed").select("a", "b"))
 
 
@@ -97,8 +102,8 @@ def _normal(text):
 def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``uid, line`` of the lines to keep, and the rows of ``docs(doc_id, text)`` with their ``uid``.
 
-    Lines are equal if their folded words are, and linked if their SimHashes
-    differ in ``DISTANCE`` bits at most and edits change no more than a tenth of
+    Lines are equal if their folded words are, and linked if they have
+    ``LEAST_WORDS`` words or more, their SimHashes differ in ``DISTANCE`` bits at most and edits change no more than a tenth of
     the longer one.  Of each connected group the first occurrence stays, in the
     order of id, row and line; null ids come first.  Rows of the same id and text
     are one document.  Lines without words are not listed.
@@ -107,30 +112,32 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     smallest first; pairs across what is then one component are left out.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
-    lines = rows.mapInArrow(_lines, "uid long, doc_id long, line long, key long, sim long")
+    lines = rows.mapInArrow(_lines, "uid long, doc_id long, line long, key long, sim long, size long")
     first = F.min(F.struct("doc_id", "uid", "line")).alias("first")
-    distinct = cut_lineage(lines.groupBy("key").agg(first, F.min("sim").alias("sim")))
+    distinct = cut_lineage(lines.groupBy("key").agg(first, F.min("sim").alias("sim"), F.min("size").alias("size")))
 
     # unsigned blocks of the hash; a key is a pair of blocks and their bits
     block = [F.shiftrightunsigned(F.shiftleft("sim", EDGES[k]), 64 - EDGES[k + 1] + EDGES[k]) for k in range(BLOCKS)]
     pairs = [F.xxhash64(F.lit(i * BLOCKS + j), block[i], block[j]) for i, j in itertools.combinations(range(BLOCKS), 2)]
-    slots = distinct.select("key", "sim", F.explode(F.array(*pairs)).alias("slot"))
+    slots = distinct.where("sim is not null").select("key", "sim", "size", F.explode(F.array(*pairs)).alias("slot"))
     many = slots.groupBy("slot").agg(F.min("key").alias("leader"), F.max("key").alias("other")).where("leader <> other")
     many = cut_lineage(many.select("slot", "leader"))
     shared = cut_lineage(slots.join(many, "slot"))
-    head = distinct.select(F.col("key").alias("leader"), F.col("sim").alias("leader_sim"))
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= DISTANCE
-    stars = shared.where("key <> leader").select("leader", "key", "sim").distinct().join(head, "leader").where(near("sim", "leader_sim"))
+    head = distinct.select(F.col("key").alias("leader"), F.col("sim").alias("other_sim"), F.col("size").alias("other_size"))
+    # lines of too different lengths need more edits than are allowed
+    gap = F.abs(F.col("size") - F.col("other_size")) <= F.floor(F.greatest("size", "other_size") * (1 - SIMILAR) + 1e-9)
+    near = (F.bit_count(F.col("sim").bitwiseXOR(F.col("other_sim"))) <= DISTANCE) & gap
+    stars = shared.where("key <> leader").select("leader", "key", "sim", "size").distinct().join(head, "leader").where(near)
     stars = cut_lineage(stars.select(F.col("leader").alias("a"), F.col("key").alias("b")))
     linked = _verified(stars, rows, distinct)
     label = components(linked).withColumnRenamed("node", "key")
 
-    rest = shared.select("slot", "key", "sim").join(label, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    rest = shared.select("slot", "key", "sim", "size").join(label, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     rest = cut_lineage(rest)
     mixed = rest.groupBy("slot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("slot")
     rest = cut_lineage(rest.join(cut_lineage(mixed), "slot"))
-    mate = rest.select("slot", F.col("key").alias("b"), F.col("sim").alias("b_sim"), F.col("comp").alias("b_comp"))
-    across = (F.col("key") < F.col("b")) & (F.col("comp") != F.col("b_comp")) & near("sim", "b_sim")
+    mate = rest.select("slot", F.col("key").alias("b"), F.col("sim").alias("other_sim"), F.col("size").alias("other_size"), F.col("comp").alias("b_comp"))
+    across = (F.col("key") < F.col("b")) & (F.col("comp") != F.col("b_comp")) & near
     found = rest.join(mate, (rest["slot"] == mate["slot"]) & across).select(F.col("key").alias("a"), "b").distinct()
     linked = linked.unionByName(_verified(found.join(stars, ["a", "b"], "left_anti"), rows, distinct))
     label = components(linked).withColumnRenamed("node", "key")
@@ -159,8 +166,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Other columns pass through (those of the two new names are replaced).
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    kept, _ = line_groups(docs)
-    lists = cut_lineage(kept.groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("line").alias("_kept")))
+    with scratch_scope(docs.sparkSession) as scratch:
+        kept, _ = line_groups(docs)
+        lists = cut_lineage(kept.groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("line").alias("_kept")))
+        scratch.keep(lists)
     rows = docs.select(*names, F.xxhash64("doc_id", "text").alias("_uid")).join(lists, "_uid", "left")
     keep = F.coalesce("_kept", F.array().cast("array<bigint>"))
     held = F.filter(

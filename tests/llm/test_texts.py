@@ -109,7 +109,7 @@ def brute_lines(rows):
     for _ in range(6):
         for i in range(len(found)):
             for j in range(i):
-                near = bin((found[i]["sim"] ^ found[j]["sim"]) & (1 << 64) - 1).count("1") <= lines.DISTANCE
+                near = None not in (found[i]["sim"], found[j]["sim"]) and bin((found[i]["sim"] ^ found[j]["sim"]) & (1 << 64) - 1).count("1") <= lines.DISTANCE
                 if text[i] == text[j] or near and edit(text[i], text[j]) <= int(max(len(text[i]), len(text[j])) * 0.1 + 1e-9):
                     label[i] = label[j] = min(label[i], label[j])
     keep = {(found[i]["uid"], found[i]["line"]) for i in range(len(found)) if label[i] == i}
