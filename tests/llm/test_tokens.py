@@ -23,7 +23,7 @@ EDGE = [
 
 def mixed(seed: int, n: int) -> list[str]:
     rng = random.Random(seed)
-    parts = ["'", "s", "re", "l", "v", " ", "  ", "\n", "\t", "a", "T", "1", "é", "!", "漢", "😀", " ", "ing", "the", "<|endoftext|>"]
+    parts = ["'", "s", "re", "l", "v", " ", ",", ".", "...", "ß", "\u0301", "  ", "\n", "\t", "a", "T", "1", "é", "!", "漢", "😀", " ", "ing", "the", "<|endoftext|>"]
     return ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(n)]
 
 
