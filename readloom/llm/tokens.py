@@ -15,7 +15,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-CACHED = 500_000  # pieces a worker remembers before it starts anew
+CACHED = 800_000  # pieces a worker remembers before it starts anew
 # a word of plain letters parts from the marks behind it, which no pattern joins with letters
 LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]++(?=[.,!?;:])|[.,!?;:]++(?=\\s|\\Z)"
 # one blank belongs to the word behind it; of a longer run the last character stands alone or leads the word
