@@ -1,8 +1,8 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one line a group."""
+"""Fuzzy line deduplication: shared segments or grams, SimHash of letters, edit similarity, one line a group."""
 
 from __future__ import annotations
 
-import itertools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +14,11 @@ from readloom.llm import kernel
 from readloom.llm.components import components
 from readloom.session import cut_lineage, scratch_scope
 
-DISTANCE = 3  # bits in which the SimHashes of near lines may differ
-BLOCKS = DISTANCE + 2  # of any two such hashes, at least two blocks are equal: every pair of blocks is a key
-EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+SHORT = 40  # near lines below this length always share a segment; longer ones are known by grams
+GRAMS = ((SHORT - SHORT // 10, 100, 9), (90, 1 << 40, 12))  # bytes of a gram by length; ranges overlap by a tenth
+BINS = 16  # a line keeps the gram of the smallest hash in each of so many bins
+VOTER = 6  # bytes of the grams that vote for the bits of a SimHash
+DISTANCE = 25  # bits in which the SimHashes of near lines may differ: 95 % of lines with a tenth of their letters edited at random
 NEAR_LINES = 200_000  # places of so many lines at most are broadcast: 5 MB
 LEAST_WORDS = 5  # lines of fewer words are repeated only if they are equal
 SIMILAR = 0.9  # share of the longer line that edits leave
@@ -35,47 +37,143 @@ FOLD = _fold()
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # what ``FOLD`` keeps
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Row, line number, content key and SimHash of every line that has words."""
-    for part in kernel.slices(batches):
+class _Parsed:
+    """Words, lines and normalised bytes of a slice of texts."""
+
+    def __init__(self, part: pa.RecordBatch):
         data, off = kernel.flat(part.column("text"))
-        if not len(data):
-            continue
-        breaks = np.flatnonzero(data == 10)
-        cuts = np.unique(np.concatenate([off, breaks + 1]))
-        folded = FOLD[data]
-        starts, ends = kernel.spans(folded > 0, cuts)
-        if not len(starts):
-            continue
-        word = kernel.hash_spans(folded, starts, ends)
-        line = np.searchsorted(cuts, starts, "right") - 1
-        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        place = np.arange(len(word)) - np.repeat(first, np.diff(np.concatenate([first, [len(word)]])))
-        key = np.add.reduceat(word * kernel.powers(int(place.max()) + 2)[place + 1], first)
-        # each word votes for or against each of 64 bits
-        count = np.diff(np.concatenate([first, [len(word)]]))
-        ones = np.zeros((len(first), 64), np.int32)
-        for a in range(0, len(first), 4096):
-            b = min(a + 4096, len(first))
-            lo, hi = first[a], first[b] if b < len(first) else len(word)
-            bits = np.unpackbits(word[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
-            ones[a:b] = np.add.reduceat(bits, first[a:b] - lo, axis=0, dtype=np.int32)
-        sim = np.packbits(2 * ones > count[:, None], axis=1).view(np.uint64).ravel()
+        self.data, self.off = data, off
+        self.breaks = np.flatnonzero(data == 10)
+        self.cuts = np.unique(np.concatenate([off, self.breaks + 1]))
+        self.folded = FOLD[data]
+        self.starts, self.ends = kernel.spans(self.folded > 0, self.cuts)
+        if not len(self.starts):
+            return
+        word = kernel.hash_spans(self.folded, self.starts, self.ends)
+        line = np.searchsorted(self.cuts, self.starts, "right") - 1
+        self.first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        self.count = np.diff(np.concatenate([self.first, [len(word)]]))
+        place = np.arange(len(word)) - np.repeat(self.first, self.count)
+        key = np.add.reduceat(word * kernel.powers(int(place.max()) + 2)[place + 1], self.first)
+        self.key = kernel.mix(key).view(np.int64)
+        self.number = line[self.first]
         # code points of the normalised line
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        size = np.add.reduceat(points[ends] - points[starts], first) + count - 1
-        number = line[first]
-        begin = cuts[number]
-        row = np.searchsorted(off, begin, "right") - 1
+        self.size = np.add.reduceat(points[self.ends] - points[self.starts], self.first) + self.count - 1
+        # normalised bytes: every word with a blank behind it
+        long_ = self.ends - self.starts + 1
+        stop = np.cumsum(long_)
+        self.bytes = self.folded[np.minimum(np.arange(stop[-1]) + np.repeat(self.starts - stop + long_, long_), len(data) - 1)]
+        self.bytes[stop - 1] = 32
+        self.begin = (stop - long_)[self.first]
+        self.line = np.repeat(np.arange(len(self.first)), np.diff(np.concatenate([self.begin, stop[-1:]])))
+
+    def grams(self, width: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Line and hash of every run of ``width`` normalised bytes of the wanted lines."""
+        n = len(self.bytes) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        value = self.bytes.astype(np.uint64) + np.uint64(1)
+        total = np.zeros(n, np.uint64)
+        for j in range(width):
+            total += value[j : n + j] * kernel.powers(width + 2)[j + 1]
+        own = np.flatnonzero((self.line[:n] == self.line[width - 1 :]) & wanted[self.line[:n]])
+        return self.line[own], kernel.mix(total[own])
+
+    def simhash(self, wanted: np.ndarray) -> np.ndarray:
+        """SimHashes of the wanted lines: each gram votes for or against each of 64 bits."""
+        sim = np.zeros(len(self.first), np.uint64)
+        line, gram = self.grams(VOTER, wanted)
+        if not len(line):
+            return sim.view(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        ends = np.concatenate([head[1:], [len(line)]])
+        at = 0
+        while at < len(head):
+            # the bits of about 64 k grams at a time
+            to = max(at + 1, int(np.searchsorted(ends, head[at] + 65536, "right")))
+            lo, hi = head[at], ends[to - 1]
+            bits = np.unpackbits(gram[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(bits, head[at:to] - lo, axis=0, dtype=np.int32)
+            sim[line[head[at:to]]] = np.packbits(2 * ones > (ends - head)[at:to, None], axis=1).view(np.uint64).ravel()
+            at = to
+        return sim.view(np.int64)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row, line number, content key, length and SimHash of every line that has words."""
+    for part in kernel.slices(batches):
+        x = _Parsed(part)
+        if not len(x.starts):
+            continue
+        begin = x.cuts[x.number]
+        row = np.searchsorted(x.off, begin, "right") - 1
         # empty texts share an offset with the next one; the last such row owns the line
-        before = np.searchsorted(breaks, begin)
-        at = before - np.searchsorted(breaks, off[row])
+        before = np.searchsorted(x.breaks, begin)
+        at = before - np.searchsorted(x.breaks, x.off[row])
+        voting = (x.count >= LEAST_WORDS) & (x.size >= SHORT)
         yield pa.RecordBatch.from_arrays(
-            [part.column("uid").take(pa.array(row)), part.column("doc_id").take(pa.array(row)), pa.array(at, pa.int64()), pa.array(kernel.mix(key).view(np.int64)), pa.array(sim.view(np.int64), mask=count < LEAST_WORDS), pa.array(size)],
+            [part.column("uid").take(pa.array(row)), part.column("doc_id").take(pa.array(row)), pa.array(at, pa.int64()), pa.array(x.key), pa.array(x.simhash(voting), mask=~voting), pa.array(x.size)],
             names=["uid", "doc_id", "line", "key", "sim", "size"],
         )
 
 
+def _allowed(size: int) -> int:
+    return size // 10
+
+
+def _segments(text: str) -> set[tuple]:
+    """What a short line shares with every near one at least once.
+
+    Of the K + 1 segments of the shorter line, K edits leave one as it is; the
+    longer line holds it at a place that K edits can move it to.
+    """
+    n, out = len(text), set()
+    for k in {_allowed(m) for m in range(n, SHORT) if m - _allowed(m) <= n} - {0}:
+        for i in range(k + 1):
+            out.add((k, n, i, text[n * i // (k + 1) : n * (i + 1) // (k + 1)]))
+    k = _allowed(n)
+    for m in range(n - k, n + 1) if k else ():
+        for i in range(k + 1):
+            a, b = m * i // (k + 1), m * (i + 1) // (k + 1)
+            for d in range(-k, k + 1):
+                if abs(d) + abs(n - m - d) <= k and 0 <= a + d and b + d <= n:
+                    out.add((k, m, i, text[a + d : b + d]))
+    return out
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Content key and slot of every line: near lines share one of their slots.
+
+    A short line has a slot for each of its segments, others for the smallest
+    gram in each bin, each for lengths of about its own.
+    """
+    for part in kernel.slices(batches):
+        x = _Parsed(part)
+        if not len(x.starts):
+            continue
+        owner, slot = [], []
+        fuzzy = x.count >= LEAST_WORDS
+        ends = np.concatenate([x.begin[1:], [len(x.bytes)]]) - 1
+        for k in np.flatnonzero(fuzzy & (x.size < SHORT)).tolist():
+            own = _segments(x.bytes[x.begin[k] : ends[k]].tobytes().decode("utf-8", "replace"))
+            owner.append(np.full(len(own), k))
+            slot.append(np.array([int.from_bytes(hashlib.blake2b(repr(s).encode(), digest_size=8).digest(), "little") for s in own], np.uint64))
+        for least, most, width in GRAMS:
+            line, gram = x.grams(width, fuzzy & (x.size >= least) & (x.size < most))
+            best = np.full(len(x.first) * BINS, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(best, line * BINS + (gram % np.uint64(BINS)).astype(np.int64), gram)
+            held = np.flatnonzero(best != np.iinfo(np.uint64).max)
+            size, best = x.size[held // BINS], best[held]
+            # lengths in steps of a half; one that a near longer line can pass counts for the next step too
+            step, after = (np.floor(np.log(v + 1e-6) / np.log(1.5)).astype(np.uint64) for v in (size, size / SIMILAR + 1))
+            both = after != step
+            owner.append(np.concatenate([held, held[both]]) // BINS)
+            slot.append(kernel.mix(np.concatenate([best, best[both]]) + np.concatenate([step, after[both]]) * kernel.MULTIPLIER + np.uint64(width)))
+        owner, slot = np.concatenate(owner), np.concatenate(slot)
+        yield pa.RecordBatch.from_arrays([pa.array(x.key[owner]), pa.array(slot.view(np.int64))], names=["key", "slot"])
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """The pairs of line keys ``(a, b)`` whose normalised lines are similar enough."""
     pairs = cut_lineage(pairs)
@@ -85,11 +183,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFra
         pairs = pairs.join(text.select(F.col("key").alias(end), F.col("line_text").alias(f"text_{end}")), end)
     long_, short = F.greatest(F.length("text_a"), F.length("text_b")), F.least(F.length("text_a"), F.length("text_b"))
     pairs = pairs.withColumn("allowed", F.floor(long_ * (1 - SIMILAR) + 1e-9)).where(long_ - short <= F.col("allowed"))
-    # within bands of growing width: most pairs are a few edits apart, and a narrow band costs little
-    edits = F.levenshtein("text_a", "text_b")
-    for band in reversed([4**k for k in range(1, 10)]):
-        within = F.levenshtein("text_a", "text_b", band)
-        edits = F.when(within >= 0, within).when(F.col("allowed") <= band, -1).otherwise(edits)
+    # within a narrow band first, which costs little and takes most links, then as wide as is allowed
+    narrow, wide = F.expr("levenshtein(text_a, text_b, 4)"), F.expr("levenshtein(text_a, text_b, cast(allowed as int))")
+    edits = F.when(narrow >= 0, narrow).when(F.col("allowed") > 4, wide).otherwise(-1)
     return cut_lineage(pairs.withColumn("edits", edits).where("edits between 0 and allowed").select("a", "b"))
 
 
@@ -103,12 +199,14 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``uid, line`` of the lines to keep, and the rows of ``docs(doc_id, text)`` with their ``uid``.
 
     Lines are equal if their folded words are, and linked if they have
-    ``LEAST_WORDS`` words or more, their SimHashes differ in ``DISTANCE`` bits at most and edits change no more than a tenth of
-    the longer one.  Of each connected group the first occurrence stays, in the
+    ``LEAST_WORDS`` words or more and edits change no more than a tenth of the
+    longer one.  Links between lines below ``SHORT`` are all found; of longer lines
+    a pair needs a common slot (see ``_slots``) and SimHashes within ``DISTANCE``
+    bits, which edits of a tenth leave to nearly all.  Of each connected group the first occurrence stays, in the
     order of id, row and line; null ids come first.  Rows of the same id and text
     are one document.  Lines without words are not listed.
 
-    A key of two blocks that holds many lines links each of them with its
+    A slot that holds many lines links each of them with its
     smallest first; pairs across what is then one component are left out.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
@@ -116,17 +214,15 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct("doc_id", "uid", "line")).alias("first")
     distinct = cut_lineage(lines.groupBy("key").agg(first, F.min("sim").alias("sim"), F.min("size").alias("size")))
 
-    # unsigned blocks of the hash; a key is a pair of blocks and their bits
-    block = [F.shiftrightunsigned(F.shiftleft("sim", EDGES[k]), 64 - EDGES[k + 1] + EDGES[k]) for k in range(BLOCKS)]
-    pairs = [F.xxhash64(F.lit(i * BLOCKS + j), block[i], block[j]) for i, j in itertools.combinations(range(BLOCKS), 2)]
-    slots = distinct.where("sim is not null").select("key", "sim", "size", F.explode(F.array(*pairs)).alias("slot"))
+    slots = cut_lineage(rows.mapInArrow(_slots, "key long, slot long").distinct())
     many = slots.groupBy("slot").agg(F.min("key").alias("leader"), F.max("key").alias("other")).where("leader <> other")
     many = cut_lineage(many.select("slot", "leader"))
-    shared = cut_lineage(slots.join(many, "slot"))
+    shared = slots.join(many, "slot").join(distinct.select("key", "sim", "size"), "key")
+    shared = cut_lineage(shared)
     head = distinct.select(F.col("key").alias("leader"), F.col("sim").alias("other_sim"), F.col("size").alias("other_size"))
     # lines of too different lengths need more edits than are allowed
     gap = F.abs(F.col("size") - F.col("other_size")) <= F.floor(F.greatest("size", "other_size") * (1 - SIMILAR) + 1e-9)
-    near = (F.bit_count(F.col("sim").bitwiseXOR(F.col("other_sim"))) <= DISTANCE) & gap
+    near = F.coalesce(F.bit_count(F.col("sim").bitwiseXOR(F.col("other_sim"))) <= DISTANCE, F.lit(True)) & gap
     stars = shared.where("key <> leader").select("leader", "key", "sim", "size").distinct().join(head, "leader").where(near)
     stars = cut_lineage(stars.select(F.col("leader").alias("a"), F.col("key").alias("b")))
     linked = _verified(stars, rows, distinct)
