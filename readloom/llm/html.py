@@ -25,12 +25,18 @@ DROPPED = frozenset(
     "script style noscript template iframe object embed svg math canvas audio video nav aside footer form fieldset button select "
     "textarea input dialog menu head title xmp noembed noframes".split()
 )
-# Parts of class, id and role names that mark what is not the article
+# Class, id and role names that mark what is not the article
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|"
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|header|masthead|toolbar|share|sharing|social|related|"
     r"recommend\w*|comments?|respond|replies|reply|disqus|login|signup|search|pagination|pager|tags|meta|byline-share|skip|complementary|"
-    r"contentinfo|rail|outbrain|taboola|disclaimer|copyright|legal)(?:$|[\s_-])"
+    r"contentinfo|rail|outbrain|taboola|disclaimer|copyright|legal)"
+)
+# What such a name is compounded with; any other part ("has-sidebar", "side-by-side") makes it another name
+BESIDE = frozenset(
+    "site page main global top bottom left right primary secondary sticky fixed mobile post posts entry article user list box bar block wrapper wrap "
+    "container inner outer section area links link buttons button btn form icons icon items item panel row title text body slot unit group us in "
+    "up out".split()
 )
 # an open element of the left kind ends when one of the right kinds begins
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -52,6 +58,15 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _marks(name: str) -> bool:
+    """Whether a class token is a marker word, or one compounded with words that leave it one."""
+    if MARKS.fullmatch(name):
+        return True
+    parts = [p for p in re.split("[_-]+", name) if p and not p.isdigit()]
+    marked = [bool(MARKS.fullmatch(p)) for p in parts]
+    return any(marked) and all(m or p in BESIDE for m, p in zip(marked, parts, strict=True))
+
+
 def _out(tag: str, attributes: str, inside_article: bool) -> bool:
     """Whether an element is boilerplate by its kind or by how its author named it."""
     if tag in DROPPED or tag == "header" and not inside_article:
@@ -63,7 +78,7 @@ def _out(tag: str, attributes: str, inside_article: bool) -> bool:
         name = m[1].lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id", "role") and MARKS.search(value):
+        if name in ("class", "id", "role") and any(map(_marks, value.split())):
             return True
     return False
 
@@ -172,6 +187,20 @@ def _collect(top: Node, least: float) -> list[list[str]]:
     return blocks
 
 
+def _dense(tops: list[Node], least: float) -> list[Node]:
+    """The highest blocks in the given branches, in page order, that are as dense as the path and not mostly links."""
+    found, todo = [], list(reversed(tops))
+    while todo:
+        x = todo.pop()
+        if x.out or not x.chars:
+            continue
+        if x.tag in BLOCK and x.density >= least and x.link_chars <= 0.6 * x.chars:
+            found.append(x)
+        else:
+            todo.extend(c for c in reversed(x.children) if not isinstance(c, str))
+    return found
+
+
 def main_text(page: str) -> str:
     """The article of a page: blocks in page order, joined by one space."""
     root, nodes = parse(page)
@@ -185,15 +214,22 @@ def main_text(page: str) -> str:
         path.append(up)
         up = up.parent
     least = min(x.density for x in path)
-    # the element that holds the article as a whole, and other branches of it as dense as the path
+    # the element that holds the article as a whole, and other branches of the page as dense as the path
     top = next((x for x in path if x.tag in ("article", "main")), None)
+    held = [top]
     if top is None:
-        top = best
-        while top.parent is not None and top.parent.tag not in ("html", "body") and top.parent.chars <= 1.5 * top.chars:
-            top = top.parent
-        if top.tag == "p":
-            top = top.parent
-    texts = (SPACE.sub(" ", html.unescape("".join(b))).strip() for b in _collect(top, least))
+        top, held = best, [best]
+        while top.parent is not None:
+            up = top.parent
+            at = next(k for k, c in enumerate(up.children) if c is top)
+            before, after = ([c for c in part if not isinstance(c, str)] for part in (up.children[:at], up.children[at + 1 :]))
+            held = _dense(before, least) + held + _dense(after, least)
+            # an element of which the article is the greater part is the article
+            if top.tag == "p" or up.tag not in ("html", "body") and up.chars <= 1.5 * sum(x.chars for x in held):
+                held = [up]
+            top = up
+    blocks = (b for x in held for b in _collect(x, least))
+    texts = (SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks)
     return " ".join(t for t in texts if t)
 
 
