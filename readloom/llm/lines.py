@@ -20,7 +20,6 @@ BINS = 16  # a line keeps the gram of the smallest hash in each of so many bins
 VOTER = 6  # bytes of the grams that vote for the bits of a SimHash
 DISTANCE = 25  # bits in which the SimHashes of near lines may differ: 95 % of lines with a tenth of their letters edited at random
 NEAR_LINES = 200_000  # places of so many lines at most are broadcast: 5 MB
-LEAST_WORDS = 5  # lines of fewer words are repeated only if they are equal
 SIMILAR = 0.9  # share of the longer line that edits leave
 
 
@@ -111,7 +110,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # empty texts share an offset with the next one; the last such row owns the line
         before = np.searchsorted(x.breaks, begin)
         at = before - np.searchsorted(x.breaks, x.off[row])
-        voting = (x.count >= LEAST_WORDS) & (x.size >= SHORT)
+        voting = x.size >= SHORT
         yield pa.RecordBatch.from_arrays(
             [part.column("uid").take(pa.array(row)), part.column("doc_id").take(pa.array(row)), pa.array(at, pa.int64()), pa.array(x.key), pa.array(x.simhash(voting), mask=~voting), pa.array(x.size)],
             names=["uid", "doc_id", "line", "key", "sim", "size"],
@@ -153,14 +152,13 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(x.starts):
             continue
         owner, slot = [], []
-        fuzzy = x.count >= LEAST_WORDS
         ends = np.concatenate([x.begin[1:], [len(x.bytes)]]) - 1
-        for k in np.flatnonzero(fuzzy & (x.size < SHORT)).tolist():
+        for k in np.flatnonzero(x.size < SHORT).tolist():
             own = _segments(x.bytes[x.begin[k] : ends[k]].tobytes().decode("utf-8", "replace"))
             owner.append(np.full(len(own), k))
             slot.append(np.array([int.from_bytes(hashlib.blake2b(repr(s).encode(), digest_size=8).digest(), "little") for s in own], np.uint64))
         for least, most, width in GRAMS:
-            line, gram = x.grams(width, fuzzy & (x.size >= least) & (x.size < most))
+            line, gram = x.grams(width, (x.size >= least) & (x.size < most))
             best = np.full(len(x.first) * BINS, np.iinfo(np.uint64).max, np.uint64)
             np.minimum.at(best, line * BINS + (gram % np.uint64(BINS)).astype(np.int64), gram)
             held = np.flatnonzero(best != np.iinfo(np.uint64).max)
@@ -198,9 +196,8 @@ def _normal(text):
 def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``uid, line`` of the lines to keep, and the rows of ``docs(doc_id, text)`` with their ``uid``.
 
-    Lines are equal if their folded words are, and linked if they have
-    ``LEAST_WORDS`` words or more and edits change no more than a tenth of the
-    longer one.  Links between lines below ``SHORT`` are all found; of longer lines
+    Lines are equal if their folded words are, and linked if edits
+    change no more than a tenth of the longer one.  Links between lines below ``SHORT`` are all found; of longer lines
     a pair needs a common slot (see ``_slots``) and SimHashes within ``DISTANCE``
     bits, which edits of a tenth leave to nearly all.  Of each connected group the first occurrence stays, in the
     order of id, row and line; null ids come first.  Rows of the same id and text

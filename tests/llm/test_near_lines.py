@@ -63,3 +63,8 @@ def test_one_changed_word_in_lines_of_all_lengths(spark):
     base = [made(rng, n, 2 * n + 40) for n in range(40, 640, 15)]
     texts = base + [edited(rng, b, 1) for b in base]
     assert removed(spark, texts) == set(range(len(base), len(texts)))
+
+
+def test_lines_of_few_words(spark):
+    texts = ["really really good", "really really goood", "wonderfulness", "wonderfullness", "short one", "short won", "two extraordinarilylongwordshere inoneline", "two extraordinarilylongwordshere inonelines"]
+    assert removed(spark, texts) == {1, 3, 7}
