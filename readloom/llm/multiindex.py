@@ -182,10 +182,11 @@ def _near(rows: DataFrame, least: float, scratch) -> DataFrame:
         F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("weight"), F.any_value("label").cast("string").alias("label"), F.any_value("embedding").cast("array<double>").alias("vector")
     )
     nodes = cut_lineage(nodes.withColumnRenamed("key", "node"))
-    sizes = [r[0] for r in nodes.select(F.size("vector").alias("n")).distinct().limit(100).collect()]
+    sizes = [r[0] for r in nodes.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
     found = None
     for size in sizes:
-        part = _linked(nodes.where(F.size("vector") == size), least)
+        # written one by one: the plan does not grow with the number of lengths
+        part = cut_lineage(_linked(nodes.where(F.size("vector") == size), least))
         found = part if found is None else found.unionByName(part)
     scratch.keep(rows)
     plain = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
