@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.coder import read_ids, write_ids
@@ -15,6 +15,7 @@ from readloom.llm.html import extract_text
 from readloom.llm.jaccard import jaccard_components
 from readloom.llm.langid import predict_languages
 from readloom.llm.lines import dedup_lines
+from readloom.llm.merkle import leaf_hash, multiproofs
 from readloom.llm.multiindex import near_vectors
 from readloom.llm.packing import packed
 from readloom.llm.quality import quality_scores
@@ -76,6 +77,25 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def manifest_leaves(docs: DataFrame) -> DataFrame:
+    """``doc_id, grp, leaf, claim``: where 3 divides the crc32 of the id, the claim has A-Z of the text in lower case."""
+
+    def hashed(text: Column) -> Column:
+        return leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaf = hashed(F.col("text"))
+    claim = F.when(tampered, hashed(F.translate("text", UPPER, LOWER))).otherwise(leaf)
+    return docs.select("doc_id", F.col("lang").alias("grp"), leaf.alias("leaf"), claim.alias("claim"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiproofs(manifest_leaves(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_id_files": op2_id_files,
@@ -87,9 +107,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
+    "op13_manifest": op13_manifest,
 }
 
+# the unsigned crc32 of a text of ASCII characters, bit by bit
+CRC32 = r"""
+xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::UBIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]),
+        lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))))
+"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+
 SQL: dict[str, str] = {
+    "op13_manifest": rf"""
+WITH RECURSIVE doc AS (
+    SELECT *, CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 3 = 0
+        THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS other FROM documents
+), leaf AS (
+    SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+        sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("text")}) AS leaf,
+        sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("other")}) AS claim
+    FROM doc
+), placed AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaf
+), node AS (
+    SELECT tree, 0 AS level, idx, leaf AS h, n FROM placed
+    UNION ALL
+    SELECT tree, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) - 1) // 8 + 1
+    FROM node WHERE n > 1 GROUP BY tree, level, idx // 8
+), subroot AS MATERIALIZED (
+    SELECT tree, h FROM node WHERE n = 1
+), top AS (
+    SELECT -1 AS tree, 0 AS level, tree AS idx, h, (SELECT count(*) FROM subroot) AS n FROM subroot
+    UNION ALL
+    SELECT -1, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) - 1) // 8 + 1
+    FROM top WHERE n > 1 GROUP BY level, idx // 8
+), run AS MATERIALIZED (
+    SELECT tree, level, idx // 8 AS up, array_agg(h ORDER BY idx) AS hs FROM (SELECT * FROM node UNION ALL SELECT * FROM top) WHERE n > 1 GROUP BY ALL
+), climb AS (
+    SELECT idx AS first_idx, tree AS own, tree, 0 AS level, idx, n, '' AS proof, claim AS folded FROM placed
+    UNION ALL
+    SELECT c.first_idx, c.own, CASE WHEN c.n > 1 THEN c.tree ELSE -1 END, CASE WHEN c.n > 1 THEN c.level + 1 ELSE 0 END,
+        CASE WHEN c.n > 1 THEN c.idx // 8 ELSE c.own END, CASE WHEN c.n > 1 THEN (c.n - 1) // 8 + 1 ELSE (SELECT count(*) FROM subroot) END,
+        CASE WHEN c.n > 1 THEN c.proof || array_to_string(list_concat(r.hs[:c.idx % 8], r.hs[c.idx % 8 + 2:]), '') ELSE c.proof END,
+        CASE WHEN c.n > 1 THEN sha256(array_to_string(list_concat(list_append(r.hs[:c.idx % 8], c.folded), r.hs[c.idx % 8 + 2:]), '')) ELSE c.folded END
+    FROM climb c LEFT JOIN run r ON r.tree = c.tree AND r.level = c.level AND r.up = c.idx // 8 AND c.n > 1
+    WHERE c.n > 1 OR c.tree >= 0
+)
+SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = t.h AS verified
+FROM placed p JOIN subroot s ON s.tree = p.tree JOIN climb c ON c.own = p.tree AND c.first_idx = p.idx AND c.tree = -1 AND c.n = 1
+CROSS JOIN (SELECT h FROM top WHERE n = 1) t
+""",
     "op4_near_vectors": r"""
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
