@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.coder import read_ids, write_ids
+from readloom.llm.conversations import conversation_audits, damaged
 from readloom.llm.decontam import benchmark_matches
 from readloom.llm.html import extract_text
 from readloom.llm.jaccard import jaccard_components
@@ -18,6 +19,7 @@ from readloom.llm.lines import dedup_lines
 from readloom.llm.merkle import leaf_hash, multiproofs
 from readloom.llm.multiindex import near_vectors
 from readloom.llm.packing import packed
+from readloom.llm.passages import passage_digests
 from readloom.llm.quality import quality_scores
 from readloom.llm.transducer import token_counts
 from readloom.session import scratch_folder, spread
@@ -77,6 +79,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_audits(damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digests(_table(spark, sf_dir, "documents"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -107,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
+    "op11_conversations": op11_conversations,
+    "op12_passages": op12_passages,
     "op13_manifest": op13_manifest,
 }
 
@@ -122,7 +134,83 @@ def _field(name: str) -> str:
     return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
 
 
+BLANK = r"[\x20\x09-\x0D]"
+
 SQL: dict[str, str] = {
+    "op11_conversations": rf"""
+WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {CRC32.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fault FROM conversations
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM raw WHERE fault <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+        regexp_replace(text, '{BLANK}+$', '') AS body, left(role, 1) AS r
+    FROM damaged
+), turns AS MATERIALIZED (
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), conv AS (
+    SELECT DISTINCT coalesce(conv_id::VARCHAR, '') AS key, conv_id FROM conversations
+), walk AS (
+    SELECT key, 0 AS i, [{{'c': 0, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}] AS v FROM conv
+    UNION ALL
+    SELECT w.key, w.i + 1, list_transform([
+            [[{{'c': e[1].c + 2, 'a': e[1].a || 'D'}}]],
+            [[{{'c': e[2].c + 2, 'a': e[2].a || 'D'}}], CASE WHEN t.fault IN ('blank', 'duplicate') THEN [] WHEN t.r = 's' THEN [{{'c': e[1].c + t.more, 'a': e[1].a || 'K'}}] ELSE [] END],
+            [[{{'c': e[3].c + 2, 'a': e[3].a || 'D'}}], CASE WHEN t.fault IN ('blank', 'duplicate') THEN [] ELSE list_transform([e[1], e[2], e[4]],
+                lambda x: {{'c': x.c + t.more + CASE WHEN t.r = 'u' THEN 0 ELSE 1 END, 'a': x.a || CASE WHEN t.r = 'u' THEN 'K' ELSE 'R' END}}) END],
+            [[{{'c': e[4].c + 2, 'a': e[4].a || 'D'}}], CASE WHEN t.fault IN ('blank', 'duplicate') THEN [] ELSE
+                [{{'c': e[3].c + t.more + CASE WHEN t.r = 'a' THEN 0 ELSE 1 END, 'a': e[3].a || CASE WHEN t.r = 'a' THEN 'K' ELSE 'R' END}}] END]
+        ], lambda s: list_sort(flatten(s))[1])
+    FROM (
+        SELECT key, i, [v[1], v[2], e2, list_sort([v[4], {{'c': e2.c + 5, 'a': e2.a || 'I'}}])[1]] AS e FROM (
+            SELECT key, i, v, list_sort([v[3], {{'c': v[1].c + 5, 'a': v[1].a || 'I'}}, {{'c': v[2].c + 5, 'a': v[2].a || 'I'}}, {{'c': v[4].c + 5, 'a': v[4].a || 'I'}}])[1] AS e2 FROM walk)
+    ) w JOIN (SELECT coalesce(conv_id::VARCHAR, '') AS key, i, r, fault, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM turns) t ON t.key = w.key AND t.i = w.i + 1
+), best AS MATERIALIZED (
+    SELECT key, list_sort([v[1], v[4], {{'c': v[3].c + 5, 'a': v[3].a || 'I'}}, {{'c': v[2].c + 10, 'a': v[2].a || 'II'}}])[1] AS b FROM (
+        SELECT key, arg_max(v, i) AS v FROM walk GROUP BY key)
+), edit AS (
+    SELECT key, b.a AS audit, 1 AS p, 1 AS i, 'x' AS at, CAST(NULL AS VARCHAR) AS line FROM best
+    UNION ALL
+    SELECT e.key, e.audit, e.p + 1, CASE WHEN e.audit[e.p] = 'I' THEN e.i ELSE e.i + 1 END,
+        CASE e.audit[e.p] WHEN 'D' THEN e.at WHEN 'K' THEN t.r ELSE CASE WHEN e.at = 'u' THEN 'a' ELSE 'u' END END,
+        CASE e.audit[e.p] WHEN 'D' THEN NULL WHEN 'K' THEN t.role || ':' || t.text
+            ELSE CASE WHEN e.at = 'u' THEN 'assistant:' ELSE 'user:' END || CASE WHEN e.audit[e.p] = 'R' THEN t.text ELSE '' END END
+    FROM edit e LEFT JOIN (SELECT coalesce(conv_id::VARCHAR, '') AS key, i, r, role, text FROM turns) t ON t.key = e.key AND t.i = e.i AND e.audit[e.p] <> 'I'
+    WHERE e.p <= length(e.audit)
+), repaired AS (
+    SELECT key, string_agg(line, chr(10) ORDER BY p) AS body FROM edit WHERE line IS NOT NULL GROUP BY key
+), facts AS (
+    SELECT coalesce(conv_id::VARCHAR, '') AS key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id
+)
+SELECT conv.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM conv JOIN best USING (key) LEFT JOIN facts USING (key) LEFT JOIN repaired USING (key)
+""",
+    "op12_passages": r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS rank,
+        list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS MATERIALIZED (
+    SELECT rid, rank, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT rid, rank, w, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50)
+), hit AS (
+    SELECT rid, i FROM win JOIN (SELECT k, min(rank) AS first FROM win GROUP BY k) USING (k) WHERE first < rank
+), covered AS (
+    SELECT DISTINCT rid, i + j AS i FROM hit, range(50) r(j)
+), kept AS (
+    SELECT rid, string_agg(word, ' ' ORDER BY i) AS body, count(*) AS n FROM (
+        SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM doc) ANTI JOIN covered USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (rid)
+""",
     "op13_manifest": rf"""
 WITH RECURSIVE doc AS (
     SELECT *, CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 3 = 0
