@@ -37,8 +37,8 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that the texts of a slice hold about ``PASS_BYTES`` bytes; nulls become empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that the texts of a slice hold about ``size`` bytes; nulls become empty."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         text = batch.column(at)
@@ -50,7 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + PASS_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 

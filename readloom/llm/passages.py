@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ LONGEST = 256  # windows of one packed string; a longer run travels as several
 HOT_ROWS = 20_000  # packed strings that a bucket takes; a fuller one gets its windows one by one, combined on the way
 HOT_KEYS = 10_000  # buckets at most that are told to all tasks: 80 kB
 TRACKED = 100_000  # keys of the sketch that finds them
+SLICE = 500_000  # bytes of text that are parsed at a time
 SEEN = 200_000  # texts that a task remembers
 NO_ID = (1 << 63) - 1  # rank of a row without id: behind all others
 
@@ -73,6 +75,11 @@ class Parsed:
         return doc[at], at, low[at].view(np.int64)
 
 
+def _packer():
+    """Packs strings of words; equal strings have equal packages."""
+    return zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
+
+
 class _Fresh:
     """Tells the rows of a task whose text it has not met under as small an id."""
 
@@ -100,7 +107,7 @@ def _text_columns(text: np.ndarray) -> list[pa.Array]:
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The buckets of a task's runs of windows, with their numbers."""
-    for part in kernel.slices(batches):
+    for part in kernel.slices(batches, size=SLICE):
         doc, at, low = Parsed(part).windows(np.ones(part.num_rows, bool))
         head = np.ones(len(low), bool)
         head[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
@@ -109,8 +116,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _super_kmers(hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = _Fresh()
-        for part in kernel.slices(batches):
+        fresh, pack = _Fresh(), _packer()
+        for part in kernel.slices(batches, size=SLICE):
             x, ids = Parsed(part), _ranks(part)
             doc, at, low = x.windows(fresh(x.text, ids))
             keep = ~np.isin(low, hot)
@@ -126,7 +133,7 @@ def _super_kmers(hot: np.ndarray):
             count = np.minimum(size[run_of] - nth * LONGEST, LONGEST)
             owner = doc[head[run_of]]
             last = first + count + WINDOW - 2
-            packed = [x.joined[a:b] for a, b in zip(x.begin[first].tolist(), (x.stop[last] - 1).tolist(), strict=True)]
+            packed = [pack(x.joined[a:b]) for a, b in zip(x.begin[first].tolist(), (x.stop[last] - 1).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(low[head[run_of]]), *_text_columns(x.text[owner]), pa.array(ids[owner]), pa.array(first - x.off[owner], pa.int64()), pa.array(packed, pa.binary())],
                 names=["h", *TEXT, "doc", "at", "packed"],
@@ -140,7 +147,7 @@ def _hot_windows(hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = _Fresh()
-        for part in kernel.slices(batches):
+        for part in kernel.slices(batches, size=SLICE):
             x, ids = Parsed(part), _ranks(part)
             doc, at, low = x.windows(fresh(x.text, ids))
             keep = np.isin(low, hot)
@@ -179,15 +186,16 @@ def earlier_windows(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
     texts = {k[:2] for k in least}
     if len(texts) < 2:
         return []
+    unpack = zstandard.ZstdDecompressor().decompress
     by_string: dict[bytes, int] = {}
     for doc, packed in least.values():
         by_string[packed] = min(doc, by_string.get(packed, doc))
     low = min(by_string.values())
     out = []
     if len(by_string) == 1:
-        words = packed.count(b" ") + 1
+        words = unpack(packed).count(b" ") + 1
         return [(t1, t2, at, at + words) for (t1, t2, at), (doc, _) in least.items() if doc > low]
-    windows = {p: _window_list(p) for p in by_string}
+    windows = {p: _window_list(unpack(p)) for p in by_string}
     first: dict[bytes, int] = {}
     for p, ws in windows.items():
         doc = by_string[p]
@@ -263,7 +271,7 @@ def repeated_passages(docs: DataFrame, hot: np.ndarray | None = None) -> DataFra
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text, number of words and hash of the joined words of every row."""
-    for part in kernel.slices(batches):
+    for part in kernel.slices(batches, size=SLICE):
         x = Parsed(part)
         sha = [hashlib.sha256(x.packed(a, b - 1) if b > a else b"").hexdigest() for a, b in zip(x.off[:-1].tolist(), x.off[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
@@ -277,7 +285,7 @@ def _chosen(marked):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = _Fresh()
-        for part in kernel.slices(batches):
+        for part in kernel.slices(batches, size=SLICE):
             x = Parsed(part)
             keep = marked.value.has(x.text[:, 0].astype("<i8").view(np.uint64))
             keep[keep] = fresh(x.text[keep], np.zeros(int(keep.sum()), np.int64))

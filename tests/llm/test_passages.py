@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import zstandard
 
 from readloom.llm import passages
 
@@ -103,7 +104,7 @@ def test_super_kmers_hold_every_window_once():
     seen = {}
     for part in passages._super_kmers(np.zeros(0, np.int64))([batch]):
         for r in part.to_pylist():
-            ws = passages._window_list(r["packed"])
+            ws = passages._window_list(zstandard.decompress(r["packed"]))
             assert 1 <= len(ws) <= passages.LONGEST
             for i, w in enumerate(ws):
                 key = (r["doc"], r["at"] + i)
