@@ -271,13 +271,14 @@ class PairBatch:
         return np.minimum(done, np.maximum(room, 0))
 
 
-def align_batch(queries: list[bytes], targets: list[bytes], band: int, trace: bool = False):
+def align_batch(queries: list[bytes], targets: list[bytes], band: int, trace: bool = False, rooms: np.ndarray | None = None):
     """Furthest-reaching banded alignment of all pairs, one edit level at a time.
 
     All pairs advance together: level ``d`` updates a (pairs x diagonals) grid.
     A pair ends when a diagonal reaches the end of either text and fails when
     its live band gets wider than twice ``band`` or ``d`` exceeds 30 % of the
-    summed lengths.  Returns a dict of arrays; with ``trace`` also one
+    summed lengths (``rooms`` tells target lengths where only their beginnings
+    are given).  Returns a dict of arrays; with ``trace`` also one
     column-operation array per pair (0 match, 1 query only, 2 target only).
     """
     batch = PairBatch(queries, targets)
@@ -290,7 +291,7 @@ def align_batch(queries: list[bytes], targets: list[bytes], band: int, trace: bo
     steps: list[tuple] = []
     final_k = np.zeros(n, dtype=np.int64)
 
-    limit = (0.3 * (batch.qlen + batch.tlen)).astype(np.int64)
+    limit = (0.3 * (batch.qlen + (batch.tlen if rooms is None else rooms))).astype(np.int64)
     ring = 1 << (2 * band + 8).bit_length()
     reach = np.zeros((n, ring), dtype=np.int64)
     lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,57 +13,6 @@ from readloom.operators.unitigs import BUNDLE_VIA, KEY
 TILING = ["ctg", "ord", "v", "w", "rid", "sp", "tp", "score", "identity", "offset", "length"]
 
 
-def bundle_paths(comp: DataFrame, table: DataFrame) -> DataFrame:
-    """Edge-disjoint paths of every bundle: ``s, t, alt, ord, es, evia, et``.
-
-    Paths are taken off by smallest summed overlap score; ``alt`` 0 is the one
-    with the largest score, the others follow in falling order.
-    """
-    edges = (
-        comp.select(F.col("s").alias("bs"), F.col("t").alias("bt"), F.explode("edges").alias("e"))
-        .select("bs", "bt", "e.*")
-        .join(table.where("via <> 'NA'").select(*KEY, "score"), KEY)
-    )
-
-    def peel(pdf):
-        import pandas as pd
-
-        start, end = pdf["bs"].iloc[0], pdf["bt"].iloc[0]
-        pool = {}
-        for r in pdf.itertuples(index=False):
-            pool.setdefault(r.s, {})[(r.via, r.t)] = int(r.score)
-        paths = []
-        while (found := _lightest_path(pool, start, end)) is not None:
-            paths.append(found)
-            for s, via, t in found[1]:
-                del pool[s][(via, t)]
-        paths.sort(reverse=True)
-        rows = [
-            (start, end, alt, i, *edge) for alt, (_, path) in enumerate(paths) for i, edge in enumerate(path)
-        ]
-        return pd.DataFrame(rows, columns=["s", "t", "alt", "ord", "es", "evia", "et"])
-
-    return edges.groupBy("bs", "bt").applyInPandas(
-        peel, "s string, t string, alt int, ord int, es string, evia string, et string"
-    )
-
-
-def _lightest_path(pool: dict, start: str, end: str):
-    """Smallest total weight from start to end, ties by the path itself."""
-    heap, done = [(0, [], start)], set()
-    while heap:
-        cost, path, node = heapq.heappop(heap)
-        if node == end:
-            return cost, path
-        if node in done:
-            continue
-        done.add(node)
-        for (via, t), weight in pool.get(node, {}).items():
-            if t not in done:
-                heapq.heappush(heap, (cost + weight, path + [(node, via, t)], t))
-    return None
-
-
 def _tiled(unitig_rows: DataFrame, table: DataFrame, members: DataFrame) -> DataFrame:
     """Read-level rows of contigs given as unitig rows ``ctg, ord, sub, KEY``."""
     heads = table.where("head is not null").select(*KEY, "head")

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from readloom.config import AssemblyConfig
 from readloom.functions.sequence import flip_end
-from readloom.operators.chains import greedy_claims, rank_chains, split_at_mirror
+from readloom.operators.bubbles import KEY, Bundles, compound_unitigs
+from readloom.operators.chains import rank_chains, split_at_mirror
 from readloom.operators.kmers import degrees
 from readloom.session import cut_lineage, global_index
 
-KEY = ["s", "via", "t"]
 BUNDLE_VIA = "NA"
 
 
@@ -192,155 +192,15 @@ def repeat_bridges(graph: DataFrame, cutoff: int) -> DataFrame:
     return both_strands(short.join(fork, "s", "left_semi").join(join, "t", "left_semi"))
 
 
-def local_graphs(graph: DataFrame, depth: int) -> DataFrame:
-    """Edges among the nodes within ``depth`` steps of each fork, by fork."""
-    forks = degrees(_vw(graph)).where("out_degree > 1").select(F.col("node").alias("fork"))
-    hops = graph.select(F.col("s").alias("node"), F.col("t").alias("next")).distinct()
-    wave = met = cut_lineage(forks.withColumn("node", F.col("fork")))
-    for _ in range(depth):
-        wave = cut_lineage(
-            wave.join(hops, "node")
-            .select("fork", F.col("next").alias("node"))
-            .distinct()
-            .join(met, ["fork", "node"], "left_anti")
-        )
-        if wave.isEmpty():
-            break
-        met = met.unionByName(wave)
-    met = cut_lineage(met)
-    return (
-        met.withColumnRenamed("node", "s")
-        .join(graph.select(*KEY, "length", "score"), "s")
-        .join(met.withColumnRenamed("node", "t"), ["fork", "t"], "left_semi")
-        .select("fork", *KEY, "length", "score")
-    )
-
-
-def bundles(graph: DataFrame, depth: int = 48, width: float = 16, length: int = 500_000, tips: int = 4) -> DataFrame:
-    """Bubbles that leave a fork and come together again: fork, end and edges."""
-
-    def grow(pdf):
-        import pandas as pd
-
-        found = _grow_bundle(pdf, depth, width, length, tips)
-        cols = ["s", "t", "length", "score", "edges"]
-        return pd.DataFrame([found] if found else [], columns=cols)
-
-    schema = "s string, t string, length long, score long, edges array<struct<s:string,via:string,t:string>>"
-    return local_graphs(graph, depth).groupBy("fork").applyInPandas(grow, schema)
-
-
-def _flip(node: str) -> str:
-    return node[:-1] + ("B" if node[-1] == "E" else "E")
-
-
-def _grow_bundle(pdf, max_depth: int, max_width: float, max_length: int, max_tips: int):
-    """Wavefront from one fork over its local graph.
-
-    A tip advances once all its in-edges come from settled nodes; settling takes
-    length and score along the best-scoring in-edge.
-    """
-    fork = pdf["fork"].iloc[0]
-    out, into = {}, {}
-    for row in pdf.sort_values(["s", "t", "via"]).itertuples(index=False):
-        out.setdefault(row.s, []).append(row)
-        into.setdefault(row.t, []).append(row)
-
-    settled = {fork: (0, 0)}
-    inside, edges = {fork}, {}
-
-    def take(node, tips):
-        """Adds the node's out-edges whose far end is not on the other strand."""
-        fresh = [e for e in out.get(node, []) if (e.s, e.via, e.t) not in edges and _flip(e.t) not in inside]
-        for e in fresh:
-            edges[(e.s, e.via, e.t)] = e
-            tips.add(e.t)
-        return bool(fresh)
-
-    def settle(node):
-        known = [e for e in into.get(node, []) if e.s in settled]
-        best = max(known, key=lambda e: e.score)
-        at = settled[best.s]
-        settled[node] = (at[0] + best.length, at[1] + best.score)
-
-    tips: set[str] = set()
-    take(fork, tips)
-    inside |= tips
-    level = 1
-    while 1 < len(tips) <= max_tips:
-        level += 1
-        if level > max_depth or (level > 10 and len(edges) / level > max_width):
-            return None
-        progress = False
-        for tip in sorted(tips):
-            if not out.get(tip) or any(e.s not in settled for e in into.get(tip, [])):
-                continue
-            settle(tip)
-            if settled[tip][0] > max_length:
-                return None
-            if any(e.t in settled for e in out[tip]):
-                return None
-            if take(tip, tips):
-                progress = True
-                tips.discard(tip)
-                if len(tips) == 1:
-                    break
-        if not progress:
-            return None
-        inside |= tips
-    if len(tips) != 1:
-        return None
-    end = next(iter(tips))
-    if end not in settled:
-        settle(end)
-    members = [{"s": s, "via": via, "t": t} for s, via, t in sorted(edges)]
-    return fork, end, settled[end][0], settled[end][1], members
-
-
-def compound_unitigs(graph: DataFrame) -> DataFrame:
-    """Bundles that do not share a unitig with a larger one, on both strands.
-
-    Returns bundle rows ``s, t, length, score, edges``.
-    """
-    found = cut_lineage(bundles(graph).withColumn("owner", F.concat("s", F.lit(">"), "t")))
-    edge = found.select("owner", (-F.size("edges")).alias("size"), F.explode("edges").alias("e")).select(
-        "owner", "size", F.col("e.s").alias("s"), F.col("e.via").alias("via"), F.col("e.t").alias("t")
-    )
-    name = F.concat_ws("~", "s", "via", "t")
-    other = F.concat_ws("~", flip_end(F.col("t")), flip_end(F.col("via")), flip_end(F.col("s")))
-    claims = edge.select("owner", "size", F.least(name, other).alias("resource"), (name > other).alias("rev"), "s")
-    # a bundle that meets its own other strand at its fork is ambiguous
-    folded = (
-        claims.groupBy("owner", "resource").agg(F.countDistinct("rev").alias("c"), F.collect_set("s").alias("from"))
-        .where(F.col("c") > 1)
-        .where(F.array_contains("from", F.split("owner", ">").getItem(0)))
-        .select("owner")
-        .distinct()
-    )
-    won = greedy_claims(claims, ["size"]).join(folded, "owner", "left_anti")
-    kept = found.join(won, "owner", "left_semi").drop("owner")
-    mirrored = kept.select(
-        flip_end(F.col("t")).alias("s"),
-        flip_end(F.col("s")).alias("t"),
-        "length",
-        "score",
-        F.transform(
-            "edges",
-            lambda e: F.struct(flip_end(e["t"]).alias("s"), flip_end(e["via"]).alias("via"), flip_end(e["s"]).alias("t")),
-        ).alias("edges"),
-    )
-    return kept.unionByName(mirrored).dropDuplicates(["s", "t"])
-
-
-def clean_unitigs(members: DataFrame, cfg: AssemblyConfig) -> tuple[DataFrame, DataFrame]:
+def clean_unitigs(members: DataFrame, cfg: AssemblyConfig) -> tuple[DataFrame, Bundles]:
     """The whole unitig phase: returns the typed unitig table and the bundles."""
     table = cut_lineage(unitigs(members))
     table = cut_lineage(_typed(table, spur_unitigs(_graph(table), cfg.spur_first), "spur:2"))
     table = cut_lineage(_typed(table, duplicate_unitigs(_graph(table)), "simple_dup"))
-    comp = cut_lineage(compound_unitigs(_graph(table)))
-    inside = comp.select(F.explode("edges").alias("e")).select("e.s", "e.via", "e.t").distinct()
+    comp = compound_unitigs(_graph(table), cfg.bundle_longest)
+    inside = comp.edges.select(*KEY).distinct()
     table = _typed(table, inside, "contained")
-    as_rows = comp.select(
+    as_rows = comp.found.select(
         *[
             F.col(c) if c in ("s", "t", "length", "score") else F.lit(v).cast(ty).alias(c)
             for c, v, ty in (
@@ -356,7 +216,7 @@ def clean_unitigs(members: DataFrame, cfg: AssemblyConfig) -> tuple[DataFrame, D
     return table, comp
 
 
-def contig_paths(table: DataFrame, comp: DataFrame, best_in: DataFrame) -> DataFrame:
+def contig_paths(table: DataFrame, comp: Bundles, best_in: DataFrame) -> DataFrame:
     """Contigs as ordered unitigs: ``ctg, type, ord, s, via, t, length, score``.
 
     A unitig is followed by the only out-edge of its end node when that node has
@@ -372,9 +232,8 @@ def contig_paths(table: DataFrame, comp: DataFrame, best_in: DataFrame) -> DataF
     deg = degrees(_vw(graph)).withColumnRenamed("node", "t")
     arrives = graph.select(*KEY, "pre_t").where("pre_t is not null")
     inner = (
-        comp.select("s", "t", F.explode("edges").alias("e"))
-        .where(F.col("e.t") == F.col("t"))
-        .select(F.col("s").alias("bs"), F.col("e.s").alias("s"), F.col("e.via").alias("via"), "t")
+        comp.edges.where(F.col("t") == F.col("bt"))
+        .select("bs", *KEY)
         .join(table.where("pre_t is not null").select(*KEY, "pre_t"), KEY)
         .select(F.col("bs").alias("s"), F.lit(BUNDLE_VIA).alias("via"), "t", "pre_t")
     )

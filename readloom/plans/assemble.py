@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.config import AssemblyConfig
-from readloom.operators import consensus, graph, layout, mapping, overlap, pairs, sketch, unitigs
+from readloom.operators import bubbles, consensus, graph, layout, mapping, overlap, pairs, sketch, unitigs
 from readloom.session import cut_lineage, keep
 
 
@@ -44,7 +44,7 @@ class Layout:
     edges: DataFrame
     members: DataFrame
     unitigs: DataFrame
-    bundles: DataFrame
+    bundles: bubbles.Bundles
     contigs: DataFrame
     primary: DataFrame
     alternate: DataFrame
@@ -58,7 +58,7 @@ def lay_out(records: DataFrame, cfg: AssemblyConfig) -> Layout:
     table, comp = unitigs.clean_unitigs(members, cfg)
     best_in = live.select("w", "best_in").distinct()
     contigs = cut_lineage(unitigs.contig_paths(table, comp, best_in))
-    paths = layout.bundle_paths(comp, table)
+    paths = bubbles.bundle_paths(comp, table)
     primary = cut_lineage(layout.primary_tiling(contigs, paths, table, members))
     alternate = layout.alternate_tiling(contigs, paths, table, members)
     return Layout(typed, members, table, comp, contigs, primary, alternate)

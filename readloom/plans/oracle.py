@@ -239,6 +239,10 @@ STEPS |= {
 }
 
 
+# steps that a recursion reads, computed once and not in each of its turns
+ONCE: set[str] = set()
+
+
 def statement(select: str) -> str:
     """The select with every step it reads, directly or not, in front of it."""
     need: list[str] = []
@@ -257,4 +261,5 @@ def statement(select: str) -> str:
         return select
     if select.lstrip().startswith("WITH "):
         raise ValueError("put shared parts into STEPS")
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in need) + "\n" + select
+    kept = {n: "MATERIALIZED " if n in ONCE else "" for n in need}
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {kept[n]}({STEPS[n]})" for n in need) + "\n" + select

@@ -231,19 +231,6 @@ def test_offset_groups_are_anchored(spark):
     assert sorted(r["shift"] for r in consensus.read_offsets(rows).collect()) == [100, 151, 230]
 
 
-def test_best_tag_path_prefers_the_majority():
-    edges = {}
-    for text, times in (("ACGT", 3), ("ACT", 1)):
-        before = (-1, 0, ".")
-        for i, b in enumerate(text if len(text) == 4 else "AC-T"):
-            tag = (i, 0, b)
-            edges[(tag, before)] = edges.get((tag, before), 0) + times
-            before = tag
-    rows = sorted(((t, p, n) for (t, p), n in edges.items()), key=lambda e: (e[0], e[1][0] & 0xFFFFFFFF, e[1][1:]))
-    assert consensus.best_tag_path(rows, {i: 4 for i in range(4)}, 1) == "ACGT"
-    assert consensus.best_tag_path(rows, {i: 1 for i in range(4)}, 1) == "acgt"
-
-
 def test_consensus_of_a_read_set(spark):
     rng = random.Random(21)
     g = random_seq(rng, 3000)
