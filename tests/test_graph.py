@@ -231,6 +231,59 @@ def test_bubble_becomes_a_compound(spark):
     assert {(e.s, e.via, e.t) for e in edges.where("bs = '2:E'").collect()} == {("2:E", "b:E", "3:E"), ("2:E", "c:E", "3:E")}
 
 
+def plain_bundle(steps, fork):
+    """Edges from a fork up to the nearest node that everything behind it must pass, or None."""
+    out, into = {}, {}
+    for s, via, t in steps:
+        out.setdefault(s, []).append((s, via, t))
+        into.setdefault(t, []).append(s)
+    found = []
+    for end in into:
+        inner, todo = {fork}, [fork]
+        while todo:
+            for _, _, t in out.get(todo.pop(), []):
+                if t not in inner and t != end:
+                    inner.add(t)
+                    todo.append(t)
+        closed = all(out.get(n) and all(s in inner for s in into.get(n, []) if n != fork) for n in inner)
+        order, left = set(), set(inner) - {fork}
+        while (free := {n for n in left if all(s == fork or s in order for s in into[n])}):
+            order, left = order | free, left - free
+        if end != fork and closed and not left and not any(s in inner for s in into.get(fork, [])):
+            found.append((len(inner), end, sorted(e for n in inner for e in out[n])))
+    return min(found)[1:] if found else None
+
+
+def test_bundles_of_random_graphs(spark):
+    rng = random.Random(9)
+    steps, fork_of = [], {}
+    for g in range(150):
+        n = rng.randrange(3, 9)
+        own = []
+        for k in range(rng.randrange(3, 14)):
+            a, b = rng.randrange(n), rng.randrange(n)
+            a, b = (a, b) if a < b or rng.random() < 0.05 else (b, a)
+            if a != b:
+                own.append((f"{g}.{a}:E", f"{g}.v{k}:E", f"{g}.{b}:E"))
+        steps += own
+        outs = [s for s, _, _ in own]
+        fork_of |= {s: own for s in outs if outs.count(s) > 1}
+    # a bubble deeper, wider and longer than any limit that was once built in
+    deep = [("z:E", f"z{i}:E", f"z{i}.0:E") for i in range(6)]
+    deep += [(f"z{i}.{k}:E", f"z{i}.v{k}:E", f"z{i}.{k + 1}:E" if k < 7 else "end:E") for i in range(6) for k in range(8)]
+    steps += deep
+    fork_of["z:E"] = deep
+    t = table(spark, [(s, via, t, 200_000, 7) for s, via, t in steps])
+    found, edges = bubbles.bundles(t)
+    got = {}
+    for r in edges.collect():
+        got.setdefault(r.bs, [r.bt, []])[1].append((r.s, r.via, r.t))
+    want = {f: plain_bundle(own, f) for f, own in fork_of.items()}
+    assert {f: (end, sorted(es)) for f, (end, es) in got.items()} == {f: w for f, w in want.items() if w}
+    assert len(got) > 40 and {r.s: r.length for r in found.collect()}["z:E"] == 1_800_000
+    assert "z:E" not in {r.s for r in bubbles.bundles(t, longest=500_000).found.collect()}
+
+
 def test_bundle_paths_and_contig(spark):
     t = table(spark, with_mirrors(BUBBLE))
     comp = bubbles.compound_unitigs(t)
