@@ -105,13 +105,19 @@ def brute_lines(rows):
     found = [r for b in lines._lines(iter([table])) for r in b.to_pylist()]
     found.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["uid"], r["line"]))
     text = [" ".join(re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), (rows[r["uid"]][1] or "").split("\n")[r["line"]]))) for r in found]
-    label = list(range(len(found)))
-    for _ in range(6):
-        for i in range(len(found)):
-            for j in range(i):
-                near = None not in (found[i]["sim"], found[j]["sim"]) and bin((found[i]["sim"] ^ found[j]["sim"]) & (1 << 64) - 1).count("1") <= lines.DISTANCE
-                if text[i] == text[j] or near and edit(text[i], text[j]) <= int(max(len(text[i]), len(text[j])) * 0.1 + 1e-9):
-                    label[i] = label[j] = min(label[i], label[j])
+    close = []
+    for i in range(len(found)):
+        for j in range(i):
+            allowed = int(max(len(text[i]), len(text[j])) * 0.1 + 1e-9)
+            near = None not in (found[i]["sim"], found[j]["sim"]) and bin((found[i]["sim"] ^ found[j]["sim"]) & (1 << 64) - 1).count("1") <= lines.DISTANCE
+            # so many edits as the lengths differ by are needed at least
+            if text[i] == text[j] or near and abs(len(text[i]) - len(text[j])) <= allowed and edit(text[i], text[j]) <= allowed:
+                close.append((i, j))
+    label, before = list(range(len(found))), None
+    while label != before:
+        before = list(label)
+        for i, j in close:
+            label[i] = label[j] = min(label[i], label[j])
     keep = {(found[i]["uid"], found[i]["line"]) for i in range(len(found)) if label[i] == i}
     listed = {(r["uid"], r["line"]) for r in found}
     out = []
