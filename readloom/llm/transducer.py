@@ -29,7 +29,6 @@ from readloom.llm import kernel
 
 CHUNK = 256  # code points of a splitter chunk
 LANE = 384  # bytes of a counter lane, to the next piece
-SLOT_BITS = 21
 MOST_MOVES = 1 << 20  # transitions kept by a worker
 
 # The suffixes that the tokenizer's pattern splits off after an apostrophe
@@ -104,7 +103,8 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Transducer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_moves: int = MOST_MOVES):
+        self.most_moves = most_moves
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre = spec["pre_tokenizer"]
@@ -123,12 +123,27 @@ class Transducer:
         self.fits: dict[tuple[int, int], bool] = {}
         self._clear()
 
-    def _clear(self) -> None:
+    def _clear(self, lanes: int = 0) -> None:
+        """Forgets all moves; a step of so many lanes leaves the emptied table at most half full."""
         root = (b"", (0,), (-1,), (0,))
         self.states, self.number = [root], {root: 0}
-        self.keys = np.full(1 << SLOT_BITS, -1, np.int64)
-        self.to, self.gain = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int8)
+        self.bits = (2 * (self.most_moves + lanes) - 1).bit_length()
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.to, self.gain = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int8)
         self.moves = 0
+        self.fits.clear()
+
+    def _renew(self, states: np.ndarray) -> np.ndarray:
+        """Empties the table in the middle of texts: only the states that the lanes stand in stay."""
+        live = [self.states[s] for s in states.tolist()]
+        self._clear(len(live))
+        return np.array([self._numbered(s) for s in live], np.int64)
+
+    def _numbered(self, state: tuple) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+        return self.number[state]
 
     def _merged(self, text: bytes) -> list[bytes]:
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -163,15 +178,12 @@ class Transducer:
         rows = [(p, b, n) for p, b, n in zip(places, last, count, strict=True) if held[p:] in self.begins] + [(len(held), token, gain)]
         cut = rows[0][0]
         new = (held[cut:], tuple(p - cut for p, _, _ in rows), tuple(b for _, b, _ in rows), tuple(n - gain for _, _, n in rows))
-        if new not in self.number:
-            self.number[new] = len(self.states)
-            self.states.append(new)
-        return self.number[new], gain
+        return self._numbered(new), gain
 
     def _slots(self, key: np.ndarray) -> np.ndarray:
         """Place of each transition in the open table; those missing are made."""
         spread = np.uint64(0x9E3779B97F4A7C15)
-        slot = ((key.astype(np.uint64) * spread) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = ((key.astype(np.uint64) * spread) >> np.uint64(64 - self.bits)).astype(np.int64)
         wrong = np.flatnonzero(self.keys[slot] != key)
         while len(wrong):
             free = self.keys[slot[wrong]] < 0
@@ -235,6 +247,9 @@ class Transducer:
         state, longest = np.zeros(len(cut), np.int64), int((end - cut)[0])
         alive = np.searchsorted(-(end - cut), -np.arange(longest), "left")
         for t, n in enumerate(alive.tolist()):
+            # a step makes a move a lane at most
+            if self.moves + n > len(self.keys) // 4 * 3 or self.moves > self.most_moves:
+                state[:n] = self._renew(state[:n])
             at = cut[:n] + t
             slot = self._slots(np.where(opens[at], 0, state[:n]) << 8 | data[at])
             state[:n] = self.to[slot]
@@ -243,8 +258,6 @@ class Transducer:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text, special strings counted as one."""
-        if self.moves > MOST_MOVES:
-            self._clear()
         total = np.zeros(len(texts), np.int64)
         owner, parts = [], []
         cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None

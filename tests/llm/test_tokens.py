@@ -35,6 +35,18 @@ def test_encoder_gives_the_ids_of_the_library(path):
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want
 
 
+def test_long_random_texts_empty_the_table_on_the_way():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (40_000, 3, 700)] + ["plain words after it, again and again " * 40]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    for most in (8, 2000):
+        machine = Transducer(path, most)
+        assert machine.counts(texts).tolist() == want
+        assert machine.moves <= most + 2 * 40_000 // 300 and len(machine.keys) < 1 << 16
+
+
 def test_transducer_counts_like_the_library():
     texts = EDGE + mixed(2, 3000)
     want = [len(e.ids) for e in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
