@@ -9,6 +9,7 @@ from readloom.config import AssemblyConfig
 from readloom.functions.sequence import normalised, oriented
 from readloom.operators.align import match_pairs
 from readloom.operators.unitigs import BUNDLE_VIA, KEY
+from readloom.session import cut_lineage
 
 TILING = ["ctg", "ord", "v", "w", "rid", "sp", "tp", "score", "identity", "offset", "length"]
 
@@ -99,20 +100,25 @@ def stitch_contigs(tiling: DataFrame, reads: DataFrame, cfg: AssemblyConfig) ->
     both = both.withColumn(
         "t", F.substring(F.col("whole"), F.greatest(F.length("whole") - F.col("length") - over + 1, F.lit(1)), F.length("whole"))
     ).withColumn("part", F.col("t")).drop("whole", "seq", "rw", "ew")
-    m = match_pairs(both, band=100)
+    m = cut_lineage(match_pairs(both, band=100))
+    # places come from narrow rows: running sums forwards, and what is behind from rows in falling order
     order = Window.partitionBy("ctg").orderBy("ord")
+    behind = Window.partitionBy("ctg").orderBy(F.col("ord").desc())
     gain = F.col("q_m_end") - F.col("t_m_end") + F.col("length")
-    base = F.first("len_v").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    placed = m.withColumn("before", base + F.coalesce(F.sum(gain).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.withColumn("start", F.col("before") - over + F.col("q_m_end")).withColumn(
-        "piece", F.substring(F.col("part"), F.col("t_m_end") + 1, F.length("part"))
-    )
+    base = F.first("len_v").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    before = base + F.coalesce(F.sum(gain).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = m.select("ctg", "ord", "q_m_end", "t_m_end", "length", "len_v").select("ctg", "ord", (before - over + F.col("q_m_end")).alias("start"))
     # a later piece overwrites whatever it starts in front of
-    later = F.min("start").over(order.rowsBetween(1, Window.unboundedFollowing))
-    cut = F.when(later.isNull(), F.length("piece")).otherwise(F.least(F.length("piece"), F.greatest(later - F.col("start"), F.lit(0))))
-    least = F.min("start").over(order.rowsBetween(0, Window.unboundedFollowing))
-    pieces = placed.withColumn("kept", F.substring(F.col("piece"), F.lit(1), cut.cast("int"))).withColumn(
-        "head", F.when(F.col("ord") == 0, F.substring(F.col("first"), F.lit(1), F.least(least, F.length("first")).cast("int")))
+    later = F.min("start").over(behind.rowsBetween(Window.unboundedPreceding, -1))
+    places = starts.select("ctg", "ord", "start", later.alias("later"))
+    size = F.greatest(F.col("later") - F.col("start"), F.lit(0))
+    piece = F.substring(F.col("part"), F.col("t_m_end") + 1, F.length("part"))
+    pieces = m.select("ctg", "ord", "first", piece.alias("piece")).join(places, ["ctg", "ord"])
+    pieces = pieces.select(
+        "ctg",
+        "ord",
+        F.when(F.col("ord") == 0, F.substring(F.col("first"), F.lit(1), F.least(F.col("start"), "later", F.length("first")).cast("int"))).alias("head"),
+        F.when(F.col("later").isNull(), F.col("piece")).otherwise(F.substring(F.col("piece"), F.lit(1), size.cast("int"))).alias("kept"),
     )
     texts_in_order = F.array_sort(F.collect_list(F.struct("ord", "head", "kept")))
     joined = F.array_join(

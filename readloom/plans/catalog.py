@@ -652,7 +652,22 @@ def _spans(f):
         ON a.key = b.key AND a.s < b.e AND b.s < a.e AND a.id <> b.id"""
 )
 def interval_overlaps(f):
-    return truth.interval_overlaps(_spans(f), _spans(f), 128)
+    return truth.interval_overlaps(_spans(f), _spans(f))
+
+
+CIRCLE = "SELECT event_id AS id, event_id * 8 AS s, event_id * 8 + 1 + CAST(floor(value) AS BIGINT) AS e FROM events"
+
+
+@query(
+    f"""SELECT least(a.id, b.id) AS lo, greatest(a.id, b.id) AS hi, max(least(a.e, b.e) - greatest(a.s, b.s)) AS olen
+        FROM ({CIRCLE}) a JOIN (SELECT id, s, e FROM ({CIRCLE}) UNION ALL SELECT id, s + 8000, e + 8000 FROM ({CIRCLE}) WHERE s < 400) b
+          ON a.s < b.e AND b.s < a.e AND a.id <> b.id GROUP BY 1, 2"""
+)
+def true_pairs(f):
+    """Every event as a placement on a circle of 8,000; the first 400 places are also behind its end."""
+    start = F.col("event_id") * 8
+    placed = f.table("events").select(F.col("event_id").alias("rid"), start.alias("s"), (start + 1 + F.floor("value")).alias("e"))
+    return truth.true_pairs(placed, 8_000, 400)
 
 
 def _strong(f):

@@ -124,7 +124,7 @@ def test_overlaps_follow_the_round_rule(toy, found):
 def test_overlaps_are_true_and_complete(spark, toy, found):
     _, reads, _, _ = toy
     placed = spark.createDataFrame([(r[0], r[2], r[3]) for r in reads], "rid long, s long, e long")
-    real = truth.true_pairs(placed, 4000)
+    real = truth.true_pairs(placed)
     marked = truth.mark_true(overlap.overlap_records(found), real).agg(F.avg("is_true")).first()[0]
     assert marked == 1.0
     # only the nearest partners of a read are looked for, but every read has some
@@ -257,6 +257,18 @@ def test_window_stitching(spark):
     assert got == {1: g[:4000], 2: g[:2000]}
 
 
+def test_intervals_of_every_length(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(2), i, s, s + rng.choice([0, 1, 2, 3, 8, 9, 1000, 70_000])) for i, s in enumerate(rng.randrange(-500, 5000) for _ in range(400))]
+    # one interval across the whole range and beyond
+    rows += [(0, 900, -(1 << 50), 1 << 50), (1, 901, 0, 1 << 40), (0, 902, 7, 8), (0, 902, 7, 8)]
+    df = spark.createDataFrame(rows, "key long, id long, s long, e long")
+    want = sorted(
+        (k, i, s, e, j, x, y) for k, i, s, e in rows for q, j, x, y in rows if k == q and i != j and s < y and x < e and s < e and x < y
+    )
+    assert sorted(map(tuple, truth.interval_overlaps(df, df).collect())) == want
+
+
 def test_colinear_chains(spark):
     rng = random.Random(4)
     g = random_seq(rng, 4000)
