@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from readloom.operators.bubbles import Bundles
+
 # Column order of the positional text formats.
 INDEX_SCHEMA = "rid long, name string, len int, offset long"
 OVERLAP_SCHEMA = (
@@ -22,11 +24,18 @@ TILING_SCHEMA = (
 )
 TRUTH_SCHEMA = "name string, s int, e int"
 
+COUNT_SCHEMA = "hash long, mc long"
+
 END_MARK = "-"
 
 
-def read_rows(spark: SparkSession, path, schema: str, sep: str = " ") -> DataFrame:
-    """Positional text rows; padding between columns and the end mark are skipped."""
+def read_rows(spark: SparkSession, path, schema: str, sep: str = " ", marked: bool = False) -> DataFrame:
+    """Positional text rows; padding between columns and the end mark are skipped.
+
+    With ``marked`` a table without its end mark, one that was cut short, is an error.
+    """
+    if marked and spark.read.text(path).where(F.trim("value") == END_MARK).isEmpty():
+        raise ValueError(f"{path} has no end mark: it was not written to its end")
     names = [part.split()[0] for part in schema.split(", ")]
     types = [part.split()[1] for part in schema.split(", ")]
     lines = spark.read.text(path).where((F.trim("value") != END_MARK) & (F.trim("value") != ""))
@@ -38,6 +47,36 @@ def read_truth(spark: SparkSession, path) -> DataFrame:
     return read_rows(spark, path, TRUTH_SCHEMA, "\t")
 
 
+def read_overlaps(spark: SparkSession, path) -> DataFrame:
+    """Overlap records of a table that was written to its end."""
+    return read_rows(spark, path, OVERLAP_SCHEMA, marked=True)
+
+
+def read_tiling(spark: SparkSession, path) -> DataFrame:
+    """Tiling rows with their place ``ord``, which their running offsets tell."""
+    rows = read_rows(spark, path, TILING_SCHEMA)
+    order = Window.partitionBy("ctg").orderBy("offset", "v", "w")
+    return rows.withColumn("ord", F.row_number().over(order) - 1)
+
+
+def read_unitigs(spark: SparkSession, path) -> DataFrame:
+    """Unitigs with the nodes of simple ones and the unitigs inside bundles, as arrays."""
+    rows = read_rows(spark, path, UNITIG_SCHEMA)
+    inner = F.transform(F.split("path", r"\|"), _edge)
+    closed = F.col("via") == "NA"
+    return rows.withColumn("nodes", F.when(~closed, F.split("path", "~"))).withColumn("edges", F.when(closed, inner))
+
+
+def read_contigs(spark: SparkSession, path) -> DataFrame:
+    """Contigs with their unitigs in order."""
+    return read_rows(spark, path, CONTIG_SCHEMA).withColumn("steps", F.transform(F.split("unitigs", r"\|"), _edge))
+
+
+def _edge(text: Column) -> Column:
+    part = F.split(text, "~")
+    return F.struct(part[0].alias("s"), part[1].alias("via"), part[2].alias("t"))
+
+
 def read_index(reads: DataFrame) -> DataFrame:
     """Index rows: number, name and length of each read.
 
@@ -70,7 +109,7 @@ def tiling_lines(tiling: DataFrame) -> DataFrame:
     ).select("value")
 
 
-def unitig_lines(table: DataFrame, members: DataFrame, bundles: DataFrame) -> DataFrame:
+def unitig_lines(table: DataFrame, members: DataFrame, bundles: Bundles) -> DataFrame:
     """Unitigs with their node path (``~``) or, for bundles, their edges (``|``)."""
     nodes = members.groupBy("head").agg(
         F.array_sort(F.collect_list(F.struct("rank", "v", "w"))).alias("steps")
@@ -78,16 +117,31 @@ def unitig_lines(table: DataFrame, members: DataFrame, bundles: DataFrame) -> Da
         "head",
         F.concat_ws("~", F.concat(F.array(F.col("steps")[0]["v"]), F.transform("steps", lambda x: x["w"]))).alias("nodes"),
     )
-    inner = bundles.select(
-        "s", "t", F.lit("NA").alias("via"),
-        F.concat_ws("|", F.transform("edges", lambda e: F.concat_ws("~", e["s"], e["via"], e["t"]))).alias("inner"),
-    )
+    inner = _inner_text(bundles).select(F.col("bs").alias("s"), F.lit("NA").alias("via"), F.col("bt").alias("t"), "inner")
     full = table.join(nodes, "head", "left").join(inner, ["s", "via", "t"], "left")
     return full.select(
         F.concat_ws(" ", "s", "via", "t", "type", "length", "score", F.coalesce("nodes", "inner")).alias("value")
     )
 
 
+def _inner_text(bundles: Bundles) -> DataFrame:
+    """The unitigs inside each bundle as one text: ``bs, bt, inner``."""
+    edge = F.concat_ws("~", "s", "via", "t")
+    return bundles.edges.groupBy("bs", "bt").agg(F.concat_ws("|", F.array_sort(F.collect_list(edge))).alias("inner"))
+
+
+def bundle_lines(bundles: Bundles) -> DataFrame:
+    """Bundles with length, score and the unitigs inside."""
+    found = bundles.found.select(F.col("s").alias("bs"), F.col("t").alias("bt"), "length", "score")
+    rows = found.join(_inner_text(bundles), ["bs", "bt"])
+    return rows.select(F.concat_ws(" ", "bs", F.lit("NA"), "bt", F.lit("compound"), "length", "score", "inner").alias("value"))
+
+
+def node_lines(nodes: DataFrame) -> DataFrame:
+    """A list of nodes, such as the chimeric ones."""
+    return nodes.select(F.col("node").alias("value"))
+
+
 def contig_lines(contigs: DataFrame) -> DataFrame:
     step = F.struct("ord", F.concat_ws("~", "s", "via", "t").alias("u"), "t")
     return (
@@ -102,8 +156,25 @@ def contig_lines(contigs: DataFrame) -> DataFrame:
     )
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    lines.select("value").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, marked: bool = False) -> None:
+    """Text lines; with ``marked`` the end mark stands in the last file, which is there only when all are."""
+    rows = lines.select("value")
+    if marked:
+        end = rows.sparkSession.range(1, numPartitions=1).select(F.lit(END_MARK).alias("value"))
+        # the parts of a union keep their order
+        rows = rows.union(end)
+    rows.write.mode("overwrite").text(path)
+
+
+def write_counts(counts: DataFrame, path: str) -> None:
+    """Minimizer counts as Parquet."""
+    counts.select(*[F.col(p.split()[0]).cast(p.split()[1]) for p in COUNT_SCHEMA.split(", ")]).write.mode("overwrite").parquet(path)
+
+
+def read_counts(spark: SparkSession, *paths: str) -> DataFrame:
+    """Counts of one or several chunks; hashes that stand in several are added up."""
+    parts = spark.read.schema(COUNT_SCHEMA).parquet(*paths)
+    return parts if len(paths) == 1 else parts.groupBy("hash").agg(F.sum("mc").alias("mc"))
 
 
 def write_sketch(sketches: DataFrame, path: str) -> None:
