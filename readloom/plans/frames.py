@@ -33,6 +33,7 @@ class Frames:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._single: dict[int, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -50,7 +51,10 @@ class Frames:
         return keep(sketch.sketch(self.reads, K, W, REDUCTION, levels=(0, 1, 2)))
 
     def level(self, n: int) -> DataFrame:
-        return self.levels.where(F.col("level") == n)
+        """One level alone; lower ones are made on the way but not kept."""
+        if n not in self._single:
+            self._single[n] = keep(sketch.sketch(self.reads, K, W, REDUCTION, levels=(n,)))
+        return self._single[n]
 
     @cached_property
     def counts(self) -> DataFrame:

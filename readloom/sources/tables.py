@@ -14,10 +14,14 @@ from readloom.session import spread
 DIGITS = "0123456789ABCDEF"
 DIGIT_BASES = "ACGT" * 4
 
+# the last digit repeats every sixteen bytes
+BYTES = "".join(map(chr, range(256)))
+BYTE_BASES = DIGIT_BASES * 16
+
 
 def as_bases(text):
-    digits = F.regexp_replace(F.hex(F.encode(text, "UTF-8")), ".(.)", "$1")
-    return F.translate(digits, DIGITS, DIGIT_BASES)
+    # in this charset a byte is a character
+    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), BYTES, BYTE_BASES)
 
 
 def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
