@@ -32,6 +32,7 @@ MARKS = re.compile(
     r"recommend\w*|comments?|respond|replies|reply|disqus|login|signup|search|pagination|pager|tags|meta|byline-share|skip|complementary|"
     r"contentinfo|rail|outbrain|taboola|disclaimer|copyright|legal)"
 )
+COMMENT = re.compile(r"comments?(?:-(?:body|item|entry|\d+))?|respond|replies|reply|disqus")
 # What such a name is compounded with; any other part ("has-sidebar", "side-by-side") makes it another name
 BESIDE = frozenset(
     "site page main global top bottom left right primary secondary sticky fixed mobile post posts entry article user list box bar block wrapper wrap "
@@ -71,14 +72,17 @@ def _out(tag: str, attributes: str, inside_article: bool) -> bool:
     """Whether an element is boilerplate by its kind or by how its author named it."""
     if tag in DROPPED or tag == "header" and not inside_article:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for m in NAMES.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         name = m[1].lower()
+        if tag == "article" and name not in ("class", "id"):
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id", "role") and any(map(_marks, value.split())):
+        # an article is one whatever its name, but for a reader's comment
+        if name in ("class", "id", "role") and any(map(COMMENT.fullmatch if tag == "article" else _marks, value.split())):
             return True
     return False
 
@@ -201,6 +205,12 @@ def _dense(tops: list[Node], least: float) -> list[Node]:
     return found
 
 
+def _alike(top: Node, least: float) -> list[Node]:
+    """The element and those of its kind beside it that are as dense as the path and not mostly links."""
+    beside = (c for c in top.parent.children if not isinstance(c, str) and c.tag == top.tag)
+    return [c for c in beside if c is top or not c.out and c.chars and c.density >= least and c.link_chars <= 0.6 * c.chars]
+
+
 def main_text(page: str) -> str:
     """The article of a page: blocks in page order, joined by one space."""
     root, nodes = parse(page)
@@ -216,7 +226,7 @@ def main_text(page: str) -> str:
     least = min(x.density for x in path)
     # the element that holds the article as a whole, and other branches of the page as dense as the path
     top = next((x for x in path if x.tag in ("article", "main")), None)
-    held = [top]
+    held = [top] if top is None or top.parent is None else _alike(top, least)
     if top is None:
         top, held = best, [best]
         while top.parent is not None:

@@ -24,6 +24,16 @@ def test_sibling_sections_are_one_article(n, link):
         assert ("Head of all" in got) == ("<h1>" in page)
 
 
+@pytest.mark.parametrize("page", ["<body><main>{}</main></body>", "<body>{}</body>", "<body><main><div>{}</div></main></body>"])
+def test_articles_side_by_side(page):
+    parts = "".join(f"<article>{section(f'art{k}n', n)}</article>" for k, n in enumerate((5, 3, 4)))
+    teaser = "<article><a href=/a>Entry of another page with a long name</a></article>"
+    comment = f'<article class="comment">{section("said")}</article>'
+    got = html.main_text(page.format(MENU + parts + teaser + comment))
+    assert [w for w in got.split() if w.startswith("art")] == [f"art{k}n{i}" for k, n in enumerate((5, 3, 4)) for i in range(n)]
+    assert "Entry" not in got and "said0" not in got
+
+
 def test_nested_branches_and_a_sparse_one_between():
     page = f"<body><div><div>{section('left')}</div>{MENU}<div><div>{section('right', 2)}</div></div></div></body>"
     got = html.main_text(page)
