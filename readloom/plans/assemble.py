@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.config import AssemblyConfig
 from readloom.operators import bubbles, consensus, graph, layout, mapping, overlap, pairs, sketch, unitigs
-from readloom.session import cut_lineage, keep
+from readloom.session import cut_lineage, global_index, keep
 
 
 @dataclass
@@ -79,38 +79,35 @@ class Assembly:
     layout: Layout
     draft: DataFrame
     consensus: DataFrame
+    alternate: DataFrame | None = None
 
 
-# alternate contigs are polished only when there is this much of them
-ALTERNATE_MIN_BASES = 500_000
+def assemble(
+    reads: DataFrame, cfg: AssemblyConfig | None = None, with_consensus: bool = True, with_alternates: bool = False
+) -> Assembly:
+    """Reads ``rid, seq`` to draft and polished primary contigs ``ctg, seq``.
 
-
-def assemble(reads: DataFrame, cfg: AssemblyConfig | None = None, with_consensus: bool = True) -> Assembly:
-    """Reads ``rid, seq`` to draft and polished primary contigs ``ctg, seq``."""
+    ``with_alternates`` also stitches the other paths through bundles, and
+    polishes them like the primary contigs, however much there is of them.
+    """
     cfg = cfg or AssemblyConfig()
     index = build_index(reads, cfg)
     records = overlaps(reads, index, cfg)
     lay = lay_out(records, cfg)
     draft = cut_lineage(layout.stitch_contigs(lay.primary, reads, cfg))
     polished = polish_contigs(draft, reads, index, cfg) if with_consensus else draft
-    return Assembly(records, lay, draft, polished)
+    other = None
+    if with_alternates:
+        other = cut_lineage(layout.stitch_contigs(lay.alternate, reads, cfg))
+        other = polish_contigs(other, reads, index, cfg) if with_consensus else other
+    return Assembly(records, lay, draft, polished, other)
 
 
 def polish_contigs(draft: DataFrame, reads: DataFrame, index: SketchIndex, cfg: AssemblyConfig) -> DataFrame:
-    # contig numbers follow the names, so the polished text finds its way back
-    named = draft.withColumn("rid", F.xxhash64("ctg"))
+    # contigs are numbered in the order of their names, so the polished text finds its way back
+    named = cut_lineage(global_index(draft, ["ctg"], "rid"))
     mapped = map_to_contigs(named.select("rid", "seq"), index, cfg)
     done = consensus.polish(named.select("rid", "seq"), reads, cut_lineage(mapped), cfg)
     return named.select(F.col("rid").alias("id"), F.col("ctg").alias("name")).join(
         done.withColumnRenamed("ctg", "id"), "id"
     ).select(F.col("name").alias("ctg"), "seq")
-
-
-def alternates(asm: Assembly, reads: DataFrame, cfg: AssemblyConfig) -> DataFrame:
-    """Alternate contigs, worth polishing only above ``ALTERNATE_MIN_BASES`` in all."""
-    return layout.stitch_contigs(asm.layout.alternate, reads, cfg)
-
-
-def worth_polishing(alternate: DataFrame) -> bool:
-    total = alternate.agg(F.sum(F.length("seq"))).first()[0]
-    return (total or 0) > ALTERNATE_MIN_BASES

@@ -146,6 +146,10 @@ def test_assembly_recovers_the_genome(toy, found):
     longest = max(rows.values(), key=len)
     assert len(longest) > 0.85 * len(genome)
     polished = {r.ctg: r.seq for r in assemble.polish_contigs(draft, df, index, CFG).collect()}
+    assert polished.keys() == rows.keys()
+    # alternates go the same way, also when there are none
+    other = stitch_contigs(lay.alternate, df, CFG)
+    assert assemble.polish_contigs(other, df, index, CFG).count() == other.count()
     best = max(polished.values(), key=len).upper()
 
     def distance(seq):
