@@ -881,12 +881,35 @@ def strand_pairs(f):
     return f.mirrored.select("h0", "strand0", "h1", "strand1", "rid", "len", "pos0", "pos1", "direction")
 
 
-@query(
-    f"""SELECT s.*, coalesce(n.shared, 0) AS shared, CASE WHEN d.rid0 IS NULL THEN 0 ELSE 1 END AS dovetail FROM dimersteps s
+STEPS["dimerlinks"] = f"""SELECT s.*, coalesce(n.shared, 0) AS shared, CASE WHEN d.rid0 IS NULL THEN 0 ELSE 1 END AS dovetail FROM dimersteps s
         LEFT JOIN (SELECT a.rid AS rid0, b.rid AS rid1, count(*) AS shared FROM
              (SELECT DISTINCT rid, h0, strand0, h1, strand1 FROM mirrored) a JOIN (SELECT DISTINCT rid, h0, strand0, h1, strand1 FROM mirrored) b
              USING (h0, strand0, h1, strand1) GROUP BY a.rid, b.rid) n USING (rid0, rid1)
         LEFT JOIN (SELECT DISTINCT rid0, rid1 FROM ({DOVETAIL})) d USING (rid0, rid1)"""
-)
+
+
+@query("SELECT * FROM dimerlinks")
 def dimer_links(f):
     return dimers.dimer_links(f.mirrored, f.counts, dimers.dovetail_pairs(f.bounded, END_LENGTH))
+
+
+@query(
+    """SELECT rid0 || '-' || dir0 AS v, rid1 || '-' || dir1 AS w FROM dimerlinks WHERE dovetail = 1
+       UNION SELECT rid1 || '-' || (1 - dir1), rid0 || '-' || (1 - dir0) FROM dimerlinks WHERE dovetail = 1"""
+)
+def dimer_graph(f):
+    return dimers.dimer_graph(dimer_links(f))
+
+
+@query(f"SELECT {LEVEL_SQL} FROM l2 WHERE rid = (SELECT min(rid) FROM l2)")
+def minimizers_of_read(f):
+    """Point look-up of the first read that has minimizers."""
+    first = f.level(2).agg(F.min("rid")).first()[0]
+    return sketch.minimizers_of_read(f.level(2), first).select(*LEVEL)
+
+
+@query("SELECT coalesce(sum(mc), 0) AS mc FROM counts WHERE hash = (SELECT max(hash) FROM counts)")
+def count_of_minimizer(f):
+    """Point look-up of the count of the largest hash."""
+    top = f.counts.agg(F.max("hash")).first()[0]
+    return sketch.count_of_minimizer(f.counts, top)
