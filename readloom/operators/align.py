@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,18 +17,21 @@ TAG_FIELDS = ["t_pos", "delta", "base", "p_t_pos", "p_delta", "p_base"]
 
 # pairs and bases aligned together; bounds the memory of a task
 PAIRS_AT_ONCE = 256
-BASES_AT_ONCE = 4_000_000
+BASES_AT_ONCE = 2_000_000
+# with a trace, every edit level of every pair is held until its columns are read off
+TRACED_AT_ONCE = 500_000
 
-def _chunks(queries: list[bytes], targets: list[bytes]) -> Iterator[tuple[int, int]]:
+
+def _chunks(queries: pa.Array, targets: pa.Array, bases: int = BASES_AT_ONCE) -> Iterator[tuple[int, int]]:
+    sizes = pc.add(pc.binary_length(queries), pc.binary_length(targets)).to_pylist()
     start, size = 0, 0
-    for i in range(len(queries)):
-        here = len(queries[i]) + len(targets[i])
-        if i > start and (i - start >= PAIRS_AT_ONCE or size + here > BASES_AT_ONCE):
+    for i, here in enumerate(sizes):
+        if i > start and (i - start >= PAIRS_AT_ONCE or size + here > bases):
             yield start, i
             start, size = i, 0
         size += here
-    if start < len(queries):
-        yield start, len(queries)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _texts(column) -> list[bytes]:
@@ -47,10 +51,10 @@ def match_pairs(pairs: DataFrame, band: int = 100, query: str = "q", target: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            qs, ts = _texts(batch.column(len(passed))), _texts(batch.column(len(passed) + 1))
-            for start, stop in _chunks(qs, ts):
-                found = kernels.align_batch(qs[start:stop], ts[start:stop], band)
+            for start, stop in _chunks(batch.column(len(passed)), batch.column(len(passed) + 1)):
                 part = batch.slice(start, stop - start)
+                qs, ts = _texts(part.column(len(passed))), _texts(part.column(len(passed) + 1))
+                found = kernels.align_batch(qs, ts, band)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(passed))]
                     + [pa.array(found[c], pa.int32()) for c in MATCH_FIELDS],
@@ -73,14 +77,11 @@ def align_pairs(pairs: DataFrame, band: int, query: str = "q", target: str = "t"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            qs, ts = _texts(batch.column(len(passed))), _texts(batch.column(len(passed) + 1))
-            for start, stop in _chunks(qs, ts):
-                found = kernels.align_batch(qs[start:stop], ts[start:stop], band, trace=True)
-                gapped = [
-                    (_gapped(qs[start + i], ops, 2), _gapped(ts[start + i], ops, 1))
-                    for i, ops in enumerate(found["columns"])
-                ]
+            for start, stop in _chunks(batch.column(len(passed)), batch.column(len(passed) + 1), TRACED_AT_ONCE):
                 part = batch.slice(start, stop - start)
+                qs, ts = _texts(part.column(len(passed))), _texts(part.column(len(passed) + 1))
+                found = kernels.align_batch(qs, ts, band, trace=True)
+                gapped = [(_gapped(q, ops, 2), _gapped(t, ops, 1)) for q, t, ops in zip(qs, ts, found["columns"], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(passed))]
                     + [pa.array(found["matched"])]
