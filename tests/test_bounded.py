@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as sq
-from readloom.operators import align, bubbles, chains, kmers, sketch
+from readloom.operators import align, bubbles, chains, dimers, kmers, mapping, sketch
 
 
 class Caught:
@@ -113,3 +113,31 @@ def test_claims_move_without_names(spark, monkeypatch):
     won = chains.greedy_claims(spark.createDataFrame(rows, "owner long, resource string"), [])
     assert sorted(r.owner for r in won.collect()) == [1, 3]
     assert all(c <= {"resource", "key", "best"} for c in seen)
+
+
+def test_dovetails_are_one_number_a_pair(spark):
+    rows = [(1, 0, 7, 4, 1000), (1, 900, 8, 4, 1000), (2, 0, 8, 4, 1000), (2, 950, 7, 4, 1000), (3, 500, 7, 4, 1000)]
+    df = spark.createDataFrame(rows, "rid long, pos int, hash long, span int, len int")
+    got = dimers.dovetail_pairs(df, 250)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    # read 1 has hash 7 at its front and 8 at its back, read 2 the other way round; read 3 has no end
+    want = {(a, x, b, y) for a, b in ((1, 2), (2, 1)) for x in (3, 5) for y in (3, 5)}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_reads_are_mapped_without_a_look_up_of_every_pair(spark):
+    pair = "h0 long, h1 long, rid long, pos0 int, pos1 int, direction int"
+    reads = spark.createDataFrame([(1, 2, 5, 10, 60, 0), (2, 1, 5, 30, 80, 1), (3, 4, 6, 1, 2, 0)], pair)
+    refs = spark.createDataFrame([(1, 2, 9, 100, 150), (1, 2, 9, 300, 350)], "h0 long, h1 long, ref_id long, ref_bgn int, ref_end int")
+    counts = spark.createDataFrame([(1, 3), (2, 4), (3, 5), (4, 6)], "hash long, mc long")
+    got = mapping.map_reads(refs, reads, counts)
+    assert sorted(tuple(r) for r in got.collect()) == [(9, 100, 150, 5, 10, 60, 0, 3, 4), (9, 300, 350, 5, 10, 60, 0, 3, 4)]
+    # the reads meet the keys, the salts and the references
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "LogicalRDD" in x and "pos1" in x)
+    deep, joins = lines[at].index("LogicalRDD"), 0
+    for x in reversed(lines[:at]):
+        here = len(x) - len(x.lstrip(" :+-"))
+        if here < deep:
+            deep, joins = here, joins + (" Join " in f" {x.lstrip(' :+-')}")
+    assert joins == 3
