@@ -103,6 +103,9 @@ def test_a_front_that_only_turns_back_closes_no_bubble(spark):
     assert bubbles.bundles(spark.createDataFrame(edges, GRAPH)).found.collect() == []
     edges[2] = ("A:E", "X:E", "X:E", 1, 1)
     assert [tuple(r) for r in bubbles.bundles(spark.createDataFrame(edges, GRAPH)).found.collect()] == [("F:E", "X:E", 2, 2, 4)]
+    # a length that is not known counts as none
+    edges[1] = ("F:E", "B:E", "B:E", None, 1)
+    assert [tuple(r) for r in bubbles.bundles(spark.createDataFrame(edges, GRAPH)).found.collect()] == [("F:E", "X:E", 1, 2, 4)]
 
 
 def test_claims_move_without_names(spark, monkeypatch):
