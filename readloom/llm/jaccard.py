@@ -261,12 +261,15 @@ def _components(docs: DataFrame, size: int, num: int, den: int, scratch) -> Data
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("best.size") / GROUP))
     gid = F.when(F.col("best").isNull(), F.xxhash64("node")).otherwise(F.xxhash64("best.key", part)).alias("gid")
     nodes = cut_lineage(nodes.join(best, "node", "left").select("node", "doc_id", "n", gid))
+    scratch.drop(keyed, many)
 
     # inside the groups
     schema = "a long, b long"
     shared = nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("gid")
     mates = cut_lineage(nodes.join(cut_lineage(shared), "gid").select("doc_id", "node", "gid"))
-    inner = cut_lineage(_group_sets(docs, mates, size).groupBy("gid").applyInArrow(_links(num, den), schema))
+    sets = _group_sets(docs, mates, size)
+    inner = cut_lineage(sets.groupBy("gid").applyInArrow(_links(num, den), schema))
+    scratch.drop(sets, mates)
     label = components(inner)
     comp = F.coalesce("component", "node").alias("comp")
     nodes = cut_lineage(nodes.join(label, "node", "left").select("node", "doc_id", "n", "gid", comp))
@@ -297,6 +300,7 @@ def _components(docs: DataFrame, size: int, num: int, den: int, scratch) -> Data
     sides = [pairs.join(sets.withColumnRenamed("gid", c), c).select("gid", "to_gid", "nodes", "tokens") for c in ("gid", "to_gid")]
     outer = sides[0].unionByName(sides[1]).groupBy("gid", "to_gid").applyInArrow(_links(num, den), schema)
     outer = cut_lineage(outer)
+    scratch.drop(sets, pairs)
 
     label = components(inner.unionByName(outer))
     nodes = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
