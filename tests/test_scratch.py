@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from readloom.llm import jaccard
-from readloom.session import SHUFFLE_CLEANUP, cut_lineage
+from readloom.llm import jaccard, lines
+from readloom.session import SHUFFLE_CLEANUP, cut_lineage, scratch_scope
 
 
 def shuffled(spark):
@@ -31,6 +32,20 @@ def exists(spark, frame):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def test_only_shared_slots_stay(spark):
+    texts = [f"the quick brown fox number {i % 40} jumps over the lazy dog\nshort {i % 7} line\nalone {i * 7919}" for i in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
+    held = defaultdict(set)
+    for r in rows.mapInArrow(lines._slots, "key long, slot long").collect():
+        held[r.slot].add(r.key)
+    want = sorted((key, slot, min(keys)) for slot, keys in held.items() if len(keys) > 1 for key in keys)
+    with scratch_scope(spark) as scratch:
+        shared, parts = lines._shared_slots(rows, scratch)
+        assert sorted(map(tuple, shared.collect())) == want
+        assert sorted(scratch.paths) == sorted(p._scratch_path for p in parts)
+
+
 def test_sets_of_groups_go_before_the_next_step(spark, monkeypatch):
     made, plain, components = [], jaccard._group_sets, jaccard.components
 
