@@ -14,6 +14,7 @@ from readloom.llm import kernel
 from readloom.llm.tokens import encoder
 from readloom.session import cut_lineage
 
+ENCODED = 500_000  # bytes of text whose pieces a task holds at a time
 ITEMS = 50_000  # documents that one task packs
 ROUNDS = 5  # exchanges at most
 RELEASED = 8  # bins with the most room that a partition gives up in the first exchange
@@ -23,7 +24,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for part in kernel.slices(batches):
+        for part in kernel.slices(batches, size=ENCODED):
             ids, off = coder.encode(part.column("text").to_pylist())
             # each document's ids and the end id behind them, in one run of bytes
             at = off[1:] + np.arange(part.num_rows)
@@ -45,6 +46,8 @@ def _pieces(path: str, capacity: int, end_id: int):
                 [part.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+            # buffers of the texts are not held for later
+            pa.default_memory_pool().release_unused()
 
     return run
 

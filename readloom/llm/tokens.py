@@ -16,6 +16,7 @@ from itertools import chain, repeat
 import numpy as np
 
 CACHED = 800_000  # pieces a worker remembers before it starts anew
+LEARNED = 4096  # new pieces that go to the library at once
 # a word of plain letters parts from the marks behind it, which no pattern joins with letters
 LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]++(?=[.,!?;:])|[.,!?;:]++(?=\\s|\\Z)"
 # one blank belongs to the word behind it; of a longer run the last character stands alone or leads the word
@@ -57,9 +58,12 @@ class Encoder:
         self.used += len(ids)
 
     def _learn(self, pieces: list[str]) -> None:
-        lists = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        self._add(pieces, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size)
+        # what the library returns for a piece takes far more memory than its ids
+        for at in range(0, len(pieces), LEARNED):
+            part = pieces[at : at + LEARNED]
+            lists = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._add(part, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the n + 1 offsets between the texts."""
